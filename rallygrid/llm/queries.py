@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rallygrid.llm.cut_text import cut_rates, judge_endings
 from rallygrid.llm.leak_search import find_leaks
 from rallygrid.llm.nearest_time import nearest_in_time
-from rallygrid.session import table
+from rallygrid.llm.source_mix import mix_shares, mix_sources
+from rallygrid.session import cut_lineage, table
 
 WEEK_MICROS = 7 * 24 * 3600 * 1_000_000
 
@@ -23,4 +25,27 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p8_found": p8_found}
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_shares(cut_lineage(p9_mix(spark, d)), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return judge_endings(table(spark, d, "documents")).filter("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cut_rates(judge_endings(table(spark, d, "documents")))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p8_found": p8_found,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
+}

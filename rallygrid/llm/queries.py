@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rallygrid.llm.cut_text import cut_rates, judge_endings
 from rallygrid.llm.leak_search import find_leaks
+from rallygrid.llm.linkage import link_records
 from rallygrid.llm.nearest_time import nearest_in_time
 from rallygrid.llm.source_mix import mix_shares, mix_sources
 from rallygrid.session import cut_lineage, table
@@ -21,6 +22,34 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest_in_time(matches, odds, WEEK_MICROS).toDF("match_id", "odds_id")
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Listings with their match and the confidence of the link."""
+    listings = table(spark, d, "bookmaker_listings").select(
+        F.col("listing_id").alias("id"),
+        F.col("Winner").alias("first"),
+        F.col("Loser").alias("second"),
+        F.lit(True).alias("oriented"),
+        F.col("Date").alias("t"),
+        F.col("Surface").alias("surface"),
+        F.col("Series").alias("level"),
+    )
+    b_won = F.coalesce(F.col("target") == 0, F.lit(False))
+    matches = table(spark, d, "training_matches").select(
+        F.col("match_id").alias("id"),
+        F.when(b_won, F.col("player_b")).otherwise(F.col("player_a")).alias("first"),
+        F.when(b_won, F.col("player_a")).otherwise(F.col("player_b")).alias("second"),
+        F.col("target").isNotNull().alias("oriented"),
+        F.col("match_date").alias("t"),
+        "surface",
+        F.col("tourney_level").alias("level"),
+    )
+    return link_records(listings, matches).toDF("listing_id", "match_id", "confidence")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_links(spark, d).select("match_id", "listing_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -43,6 +72,8 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_links": p3_links,
     "p8_found": p8_found,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class StepTables:
+    """Tables of an iteration, written to the checkpoint folder and read back.
+
+    A checkpoint keeps what the optimizer knew of its plan (sizes, constraints), which piles
+    up over the steps of a loop; a table starts afresh, and its true size is known, so small
+    ones are broadcast by the planner under its own threshold. Only the last ``keep`` tables
+    stay; ``close`` removes the rest, once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, keep: int = 2) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.keep, self.paths = spark, keep, []
+        self.base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/steps-{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        if len(self.paths) > self.keep:
+            self._drop(self.paths[-1 - self.keep])
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        self._drop(self.base)
+
+    def _drop(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """Measure an already materialised ``df`` and mark it for broadcast when it is small.
 

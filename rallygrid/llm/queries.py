@@ -9,6 +9,7 @@ from rallygrid.llm.cut_text import cut_rates, judge_endings
 from rallygrid.llm.leak_search import find_leaks
 from rallygrid.llm.linkage import link_records
 from rallygrid.llm.nearest_time import nearest_in_time
+from rallygrid.llm.paired_ranking import probit_ranking
 from rallygrid.llm.source_mix import mix_shares, mix_sources
 from rallygrid.session import cut_lineage, table
 
@@ -50,6 +51,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_links(spark, d).select("match_id", "listing_id")
 
 
+def _comparisons(spark: SparkSession, d: str) -> DataFrame:
+    """Each match once - of repeated deliveries the latest, then the largest row id - in the
+    scope of all surfaces and in that of its own."""
+    feed = table(spark, d, "ongoing_tourneys").select(
+        "tourney_id", "match_num", "loaded_at", "row_id", "winner_id", "loser_id", F.lower(F.trim("surface")).alias("surface")
+    )
+    keyless = F.when(F.col("tourney_id").isNull() | F.col("match_num").isNull(), F.col("row_id"))
+    once = feed.groupBy("tourney_id", "match_num", keyless.alias("keyless")).agg(
+        F.max_by(F.struct("winner_id", "loser_id", "surface"), F.struct("loaded_at", "row_id")).alias("m")
+    )
+    scopes = F.array_compact(F.array(F.lit("all"), F.when(F.col("m.surface") != "", F.col("m.surface"))))
+    return once.select(F.explode(scopes).alias("scope"), F.col("m.winner_id").alias("winner"), F.col("m.loser_id").alias("loser"))
+
+
+def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return probit_ranking(_comparisons(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -74,6 +93,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_links": p3_links,
+    "p5_ranking": p5_ranking,
     "p8_found": p8_found,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,

@@ -22,7 +22,9 @@ def eight_digits(text: Column) -> Column:
 
 def float_date(text: Column) -> Column:
     """A date that came through a float column: missing counts as 0, which is no date."""
-    whole = F.coalesce(text.try_cast("double"), F.lit(0.0)).cast("long").cast("string")
+    number = text.try_cast("double")
+    known = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e15)
+    whole = F.when(known, number).otherwise(0.0).cast("long").cast("string")
     return F.try_to_date(whole, "yyyyMMdd")
 
 

@@ -1,6 +1,7 @@
 """Every registered query of the core, and its SQL twin."""
 
-from rallygrid.plans import core_problems
+from rallygrid.plans import betting, core_problems, learning, players, relational
 
-QUERIES = {**core_problems.QUERIES}
-ORACLES = {**core_problems.ORACLES}
+_MODULES = (core_problems, players, relational, betting, learning)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -9,6 +9,7 @@ from rallygrid.operators.as_known import as_known_at
 from rallygrid.operators.nested_records import interval_nodes, link_to_container, typed_table
 from rallygrid.operators.packed_fields import split_packed
 from rallygrid.operators.trailing_totals import once_per_match, trailing_totals
+from rallygrid.plans.base import date_sql
 from rallygrid.session import table
 
 
@@ -139,6 +140,19 @@ WITH sides AS (
 )
 """
 
+_SAME = "player_id, opponent_id, tourney_id, round"
+_REST = "surface, player, opponent, tourney_level, tourney_name, won_match, minutes, ace, df, svpt, first_in, first_won, second_won, service_games, opp_svpt, opp_first_in, opp_first_won, opp_second_won, opp_bp_faced, opp_bp_saved, bp_saved, bp_faced, tb_played, tb_won, break_points_generated, breaks_converted"
+_MEASURES = ("ace", "svpt", "won_match")
+_P7 = f"""
+WITH r AS (SELECT *, {date_sql('tourney_date')} AS d FROM analytics_player_matches),
+once AS (SELECT {_SAME}, {_REST}, max(d) AS d FROM r GROUP BY ALL),
+daily AS (SELECT player_id, d, count(*) AS n, {', '.join(f"coalesce(sum({m}), 0) AS s_{m}, count({m}) AS c_{m}" for m in _MEASURES)} FROM once WHERE player_id IS NOT NULL AND d IS NOT NULL GROUP BY ALL),
+span AS (SELECT player_id, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS day FROM daily GROUP BY player_id),
+dense AS (SELECT span.player_id, day, coalesce(n, 0) AS n, {', '.join(f"coalesce(s_{m}, 0) AS s_{m}, coalesce(c_{m}, 0) AS c_{m}" for m in _MEASURES)} FROM span LEFT JOIN daily ON daily.player_id = span.player_id AND daily.d = span.day)
+SELECT player_id, day, {', '.join(f"CAST(sum(n) OVER w{p} AS BIGINT) AS events_{p}, " + ', '.join(f"CAST(sum(s_{m}) OVER w{p} AS BIGINT) AS {m}_sum_{p}, CASE WHEN sum(c_{m}) OVER w{p} > 0 THEN sum(s_{m}) OVER w{p} / sum(c_{m}) OVER w{p} END AS {m}_avg_{p}, sum(s_{m}) OVER w{p} / {float(p)} AS {m}_daily_{p}" for m in _MEASURES) for p in (7, 30))}
+FROM dense WINDOW w7 AS (PARTITION BY player_id ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY player_id ORDER BY day ROWS 29 PRECEDING)
+"""
+
 ORACLES = {
     "p1_found": r"""
 WITH parts AS (
@@ -154,4 +168,24 @@ SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY pos) AS INTE
     "p4_found": _P4 + "SELECT match_id, player_id, history_id FROM hit WHERE rn = 1",
     "p4_known_ratings": _P4
     + "SELECT match_id, player_id, history_id, d AS rating_date, elo AS elo_before, CAST(idle AS BIGINT) AS days_inactive FROM hit WHERE rn = 1",
+    "p6_found": r"""
+WITH raw AS (
+  SELECT payload_id, CASE WHEN json_valid(body) THEN CASE WHEN json_type(body) = 'VARCHAR' THEN json_extract_string(body, '$') ELSE body END END AS b FROM fixtures_atp
+), lists AS (
+  SELECT payload_id, CASE WHEN json_valid(b) THEN CASE json_type(b) WHEN 'ARRAY' THEN CAST(b AS JSON) ELSE coalesce(json_extract(b, '$.data'), json_extract(b, '$.fixtures'), json_extract(b, '$.results')) END END AS l FROM raw
+), each AS (
+  SELECT payload_id, CAST(i AS INTEGER) AS match_pos, json_extract(l, '$[' || (i - 1) || ']') AS m FROM lists, LATERAL (SELECT unnest(range(1, CAST(json_array_length(l) AS BIGINT) + 1)) AS i)
+), flat AS (
+  SELECT payload_id, match_pos, json_extract_string(m, '$.tournament.court.name') AS court, json_extract_string(m, '$.odds.k1') AS k1, json_extract_string(m, '$.player1.name') AS p1, json_extract_string(m, '$.player2.name') AS p2 FROM each
+), up AS (
+  SELECT payload_id, CAST(generate_subscripts(matches, 1) AS INTEGER) AS match_pos, unnest(matches) AS m FROM upcoming_matches
+), united AS (
+  SELECT * FROM flat UNION ALL SELECT payload_id, match_pos, m.tournament.court.name, CAST(m.odds.k1 AS VARCHAR), m.player1.name, m.player2.name FROM up
+), names AS (
+  SELECT payload_id, match_pos, 'court' AS field_name, court AS field_value FROM united
+  UNION ALL SELECT payload_id, match_pos, 'k1', CAST(CAST(round(try_cast(k1 AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR) FROM united
+  UNION ALL SELECT payload_id, match_pos, 'player1', p1 FROM united UNION ALL SELECT payload_id, match_pos, 'player2', p2 FROM united
+) SELECT * FROM names WHERE field_value IS NOT NULL
+""",
+    "p7_trailing_totals": _P7,
 }

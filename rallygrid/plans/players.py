@@ -357,3 +357,27 @@ x AS (SELECT match_id, a.metric, round(a.v - b.v, 2) AS diff FROM training_match
 SELECT match_id, metric, diff, abs(diff) AS abs_edge, CASE WHEN diff > 0 THEN 'A' WHEN diff < 0 THEN 'B' ELSE 'TIE' END AS leader FROM x""",
 }
 ORACLES |= {f"pit_last_{n}": _with_null_sums(_pit_sql(n)) for n in _SIZES}
+
+
+def _elo_sql(scope: str, tau: float, wd: str, ld: str) -> str:
+    """The fold as a recursive query with the ratings in a list."""
+    return _LONG + f""", day AS (SELECT *, CAST(coalesce(date_diff('day', lag(match_day) OVER (PARTITION BY player_id ORDER BY {_ORD}), match_day), -1) AS INTEGER) AS days,
+ CAST(coalesce(date_diff('day', lag(match_day) OVER (PARTITION BY player_id, surface ORDER BY {_ORD}), match_day), -1) AS INTEGER) AS sdays FROM lf),
+g AS (SELECT row_id, match_day, surface, tourney_level, tourney_id, match_num, winner_id, loser_id, max(CASE WHEN won = 1 THEN days END) AS wd, max(CASE WHEN won = 0 THEN days END) AS ld,
+ max(CASE WHEN won = 1 THEN sdays END) AS wsd, max(CASE WHEN won = 0 THEN sdays END) AS lsd FROM day GROUP BY ALL),
+ids AS (SELECT scope, id, row_number() OVER (ORDER BY scope, id) AS i FROM (SELECT DISTINCT {scope} AS scope, unnest([winner_id, loser_id]) AS id FROM g WHERE {scope} IS NOT NULL)),
+o AS (SELECT row_number() OVER (ORDER BY {_ORD}) AS n, row_id, w.i AS w, l.i AS l, {wd} AS wd, {ld} AS ld,
+ (CASE tourney_level WHEN 'G' THEN 40.0 WHEN 'M' THEN 32.0 WHEN '500' THEN 28.0 ELSE 24.0 END * CASE WHEN greatest(g.wd, g.ld) > 180 THEN 2.0 WHEN greatest(g.wd, g.ld) > 70 THEN 1.5 ELSE 1.0 END)::DOUBLE AS k
+ FROM g JOIN ids w ON w.scope = {scope} AND w.id = winner_id JOIN ids l ON l.scope = {scope} AND l.id = loser_id),
+f(n, row_id, we, le, st) AS (
+  SELECT 0::BIGINT, -1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, (SELECT list_transform(range(count(*)), lambda i: 1500.0::DOUBLE) FROM ids)
+  UNION ALL
+  SELECT n, row_id, we, le, list_transform(st, lambda v, i: CASE WHEN i = w THEN v + k*(1-e) WHEN i = l THEN v - k*(1-e) ELSE v END)
+  FROM (SELECT *, 1/(1+pow(10.0, (le-we)/400.0)) AS e FROM (SELECT o.n, o.row_id, o.w, o.l, o.k, f.st,
+    CASE WHEN wd <= 0 THEN f.st[w] ELSE 1500+(f.st[w]-1500)*exp(-wd/{tau}) END AS we, CASE WHEN ld <= 0 THEN f.st[l] ELSE 1500+(f.st[l]-1500)*exp(-ld/{tau}) END AS le
+    FROM f JOIN o ON o.n = f.n + 1)))
+SELECT row_id, round(we, 6) AS winner_elo, round(le, 6) AS loser_elo FROM f WHERE n > 0"""
+
+
+ORACLES["elo_overall"] = _elo_sql("'all'", TAU_OVERALL, "g.wd", "g.ld").replace("WITH m AS", "WITH RECURSIVE m AS", 1)
+ORACLES["elo_surface"] = _elo_sql("surface", TAU_SURFACE, "wsd", "lsd").replace("WITH m AS", "WITH RECURSIVE m AS", 1)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 PASSAGE = 12
 REPLACED = 1
 SHINGLE = 5
-MISS = 1e-6
-#: Items of one block; a block's signatures are sent with the tasks (80 items: some 3 MB).
+MISS = 1e-5
+#: Items of one block; a block's signatures are sent with the tasks (80 items: some 5 MB).
 ITEMS_PER_BLOCK = 2_000
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = regex.compile(r"\p{Mn}+")
 _CACHE_WORDS = 500_000
 
 
@@ -41,22 +43,27 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     return _WORD.findall(text.casefold() if not text.isascii() else text.lower())
 
 
 class _Hasher:
+    """64-bit hashes of words, remembered between texts."""
+
     def __init__(self) -> None:
         self.seen: dict[str, int] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[str]) -> list[int]:
         seen = self.seen
         if len(seen) > _CACHE_WORDS:
             seen.clear()
-        for w in words:
-            if w not in seen:
-                seen[w] = xxhash.xxh64_intdigest(w)
-        return np.array([seen[w] for w in words], dtype=np.uint64)
+        try:
+            return [seen[w] for w in words]
+        except KeyError:
+            for w in words:
+                if w not in seen:
+                    seen[w] = xxhash.xxh64_intdigest(w)
+            return [seen[w] for w in words]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,14 +73,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
-    """Order-dependent 64-bit hashes of the k-word windows."""
+    """Order-dependent 32-bit hashes of the k-word windows."""
     n = len(hashes) - k + 1
     if n <= 0:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint32)
     out = np.zeros(n, dtype=np.uint64)
     for i in range(k):
         out = _mix(out + hashes[i : i + n])
-    return out
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def functions_needed(segment_shingles: int, miss: float = MISS) -> int:
@@ -89,13 +96,16 @@ def functions_needed(segment_shingles: int, miss: float = MISS) -> int:
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(12345)
-    a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 2**63, n, dtype=np.uint64)
+    a = rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return a, rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
 #: Largest number of shingles of the segments in each partition.
 _FULL = 2 * PASSAGE - SHINGLE + 1
 SIZES = (PASSAGE - SHINGLE + 1, 12, 16, _FULL)
+#: Segments whose minima are taken at once; their shingles fit a core's cache.
+_CHUNK = 2_048
+_FILTER = np.uint32(0xFFFF)
 
 
 class ItemIndex:
@@ -108,92 +118,113 @@ class ItemIndex:
         self.ids, self.words = [], []
         rows, owner = [], []
         for item_id, text in items:
-            h = hasher(words_of(text))
+            h = np.array(hasher(words_of(text)), dtype=np.uint64)
             if len(h) < PASSAGE:
                 continue
-            s = shingles(h)
-            per = PASSAGE - SHINGLE + 1
-            windows = np.lib.stride_tricks.sliding_window_view(s, per)
+            windows = np.lib.stride_tricks.sliding_window_view(shingles(h), PASSAGE - SHINGLE + 1)
             rows.append(windows)
             owner += [len(self.ids)] * len(windows)
             self.ids.append(item_id)
             self.words.append(h)
-        self.owner = np.array(owner, dtype=np.int64)
         self.values: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
+        self.may: list[np.ndarray] = []
         if rows:
-            sets = np.concatenate(rows)
+            sets = np.ascontiguousarray(np.concatenate(rows).T)
             for j in range(len(self.a)):
-                low = (sets * self.a[j] + self.c[j]).min(axis=1)
-                pair = np.unique(np.rec.fromarrays([low, self.owner], names="v,o"))
+                low = (sets * self.a[j] + self.c[j]).min(axis=0)
+                pair = np.unique(np.rec.fromarrays([low, np.array(owner)], names="v,o"))
                 self.values.append(np.ascontiguousarray(pair["v"]))
                 self.owners.append(np.ascontiguousarray(pair["o"]))
+                may = np.zeros(int(_FILTER) + 1, dtype=bool)  # by the low bits of the values
+                may[pair["v"] & _FILTER] = True
+                self.may.append(may)
 
     def search(self, sets: np.ndarray, functions: int) -> set[tuple[int, int]]:
-        """(row of ``sets``, item) pairs whose minima agree under one of the functions."""
+        """(column of ``sets``, item) pairs whose minima agree under one of the functions."""
         found: set[tuple[int, int]] = set()
+        work = np.empty_like(sets)
+        low = np.empty(sets.shape[1], dtype=sets.dtype)
         for j in range(functions):
-            low = (sets * self.a[j] + self.c[j]).min(axis=1)
-            values = self.values[j]
-            lo = np.searchsorted(values, low, "left")
-            hit = np.flatnonzero((lo < len(values)) & (values[np.minimum(lo, len(values) - 1)] == low))
+            np.multiply(sets, self.a[j], out=work)
+            np.add(work, self.c[j], out=work)
+            np.minimum.reduce(work, axis=0, out=low)
+            some = np.flatnonzero(self.may[j][low & _FILTER])
+            values, asked = self.values[j], low[some]
+            lo = np.searchsorted(values, asked, "left")
+            hit = np.flatnonzero((lo < len(values)) & (values[np.minimum(lo, len(values) - 1)] == asked))
             if len(hit):
-                hi = np.searchsorted(values, low[hit], "right")
-                for row, x, y in zip(hit.tolist(), lo[hit].tolist(), hi.tolist()):
-                    found.update((row, o) for o in self.owners[j][x:y].tolist())
+                hi = np.searchsorted(values, asked[hit], "right")
+                for at, x, y in zip(some[hit].tolist(), lo[hit].tolist(), hi.tolist()):
+                    found.update((at, o) for o in self.owners[j][x:y].tolist())
         return found
 
     def holds(self, segment: np.ndarray, item: int) -> bool:
         """Exact test: PASSAGE consecutive item words in the segment, REPLACED may differ."""
-        same = (segment[:, None] == self.words[item][None, :]).astype(np.int8)
-        n, m = same.shape[0] - PASSAGE + 1, same.shape[1] - PASSAGE + 1
-        total = sum(same[t : t + n, t : t + m] for t in range(PASSAGE))
+        # Agreements along the diagonals, in runs of 1, 2, 4, 8 and so on.
+        run = (segment[:, None] == self.words[item][None, :]).astype(np.int8)
+        n, m = run.shape[0] - PASSAGE + 1, run.shape[1] - PASSAGE + 1
+        total, at, width = np.zeros((n, m), dtype=np.int8), 0, 1
+        while width <= PASSAGE:
+            if PASSAGE & width:
+                total += run[at : at + n, at : at + m]
+                at += width
+            run = run[:-width, :-width] + run[width:, width:] if 2 * width <= PASSAGE else run
+            width *= 2
         return bool((total >= PASSAGE - REPLACED).any())
 
 
+def _search_texts(index: ItemIndex, ids: list[int], lengths: list[int], flat: list[int]) -> set[tuple[int, int]]:
+    """Leaks of some texts, given as one run of word hashes and the texts' lengths."""
+    words = np.array(flat, dtype=np.uint64)
+    grams = shingles(words)  # those across two texts belong to no segment
+    n = np.array(lengths, dtype=np.int64)
+    offset = np.cumsum(n) - n
+    per_text = np.maximum(n - PASSAGE, 0) // PASSAGE + 1
+    text = np.repeat(np.arange(len(n)), per_text)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    start = offset[text] + k * PASSAGE
+    held = np.minimum(2 * PASSAGE, n[text] - k * PASSAGE)  # words of the segment
+    size = held - SHINGLE + 1
+    found: set[tuple[int, int]] = set()
+    least = 0
+    for most, functions in zip(SIZES, index.needed):
+        part = np.flatnonzero((size > least) & (size <= most))
+        least = most
+        for at in range(0, len(part), _CHUNK):
+            seg = part[at : at + _CHUNK]
+            # A repeated element changes no minimum, so short segments repeat their last one.
+            cols = start[seg][None, :] + np.minimum(np.arange(most)[:, None], size[seg][None, :] - 1)
+            for col, item in index.search(grams[cols], functions):
+                s = seg[col]
+                key = (ids[text[s]], index.ids[item])
+                if key not in found and index.holds(words[start[s] : start[s] + held[s]], item):
+                    found.add(key)
+    return found
+
+
 def _scan(index: ItemIndex):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher()
         for frame in frames:
-            docs: list[int] = []
-            found: list[tuple[int, int]] = []
-            # Segments by size partition: (document, words of the segment).
-            parts: list[list[tuple[int, np.ndarray]]] = [[] for _ in SIZES]
-            held = 0
-
-            def flush() -> None:
-                for part, size, functions in zip(parts, SIZES, index.needed):
-                    for at in range(0, len(part), 4096):
-                        chunk = part[at : at + 4096]
-                        sets = np.empty((len(chunk), size), dtype=np.uint64)
-                        for r, (_, h) in enumerate(chunk):
-                            s = shingles(h)
-                            sets[r, : len(s)] = s
-                            sets[r, len(s) :] = s[0]  # a repeated element changes no minimum
-                        found.extend(
-                            (chunk[row][0], index.ids[item])
-                            for row, item in index.search(sets, functions)
-                            if index.holds(chunk[row][1], item)
-                        )
-                    part.clear()
-
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+            found: set[tuple[int, int]] = set()
+            ids: list[int] = []
+            lengths: list[int] = []
+            flat: list[int] = []
+            for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"]):
                 h = hasher(words_of(text))
                 if len(h) < PASSAGE:
                     continue
-                docs.append(doc_id)
-                last = max(0, len(h) - PASSAGE)
-                for start in range(0, last + 1, PASSAGE):
-                    segment = h[start : start + 2 * PASSAGE]
-                    size = len(segment) - SHINGLE + 1
-                    parts[next(i for i, s in enumerate(SIZES) if size <= s)].append((doc_id, segment))
-                    held += 1
-                    if held >= 65_536:
-                        flush()
-                        held = 0
-            flush()
+                ids.append(doc_id)
+                lengths.append(len(h))
+                flat += h
+                if len(flat) > 500_000:
+                    found |= _search_texts(index, ids, lengths, flat)
+                    ids, lengths, flat = [], [], []
+            if ids:
+                found |= _search_texts(index, ids, lengths, flat)
             if found:
-                yield pd.DataFrame(sorted(set(found)), columns=["doc_id", "item_id"])
+                yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"])
 
     return run
 

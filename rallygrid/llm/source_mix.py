@@ -22,27 +22,45 @@ from pyspark.sql import functions as F
 
 from rallygrid.session import cut_lineage
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Blocks that a size class of a source is cut into.
 SUB_BLOCKS = 64
 _EXACT = "decimal(38,18)"
 
 
+#: How byte-level BPE cuts a text before merging (the public pattern of the vocabulary).
+SPLIT = (
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+
+
+def _counter(tokenizer: str):
+    """Number of tokens of a text, by a rank file (``.tiktoken``) or a tokenizer file (``.json``)."""
+    if tokenizer.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+
+        with open(tokenizer, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        coder = tiktoken.Encoding("public", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: len(coder.encode_ordinary(text))
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(tokenizer)
+    coder.encode_special_tokens = True
+    return lambda text: len(coder.encode(text, add_special_tokens=False))
+
+
 def token_counts(df: DataFrame, keep: list[str], text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """``keep`` columns, ``digest`` (SHA-256 of the text) and ``n_tokens int`` of every non-null
     text, by a public tokenizer file; markup of special tokens is ordinary text."""
     schema = df.select(*keep).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+        count = _counter(tokenizer)
         for frame in frames:
-            texts = frame.pop("body").tolist()
-            counts: list[int] = []
-            for at in range(0, len(texts), 256):
-                counts += [len(e) for e in t.encode_batch_fast(texts[at : at + 256], add_special_tokens=False)]
+            counts = [count(t) for t in frame.pop("body")]
             frame["n_tokens"] = pd.Series(counts, dtype="int32", index=frame.index)
             yield frame
 

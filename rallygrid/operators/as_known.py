@@ -28,7 +28,8 @@ def as_known_at(
 
     ``events``: ``event_id``, ``entity``, ``at`` (timestamp). ``versions``: ``entity``,
     ``valid_on`` (date), ``recorded_at`` (timestamp), ``version_id`` and any payload columns,
-    which come out under their own names. Returns ``event_id, entity, at, valid_on,
+    which come out under their own names (``event_id`` and ``at`` with ``_version`` appended).
+    Other columns of ``events`` are ignored. Returns ``event_id, entity, at, valid_on,
     recorded_at, version_id, <payload>``, one row per event row that has a version.
 
     A version is usable when ``valid_on`` is an earlier calendar day than ``at`` and
@@ -116,5 +117,6 @@ def as_known_at(
         F.col("event.event_id").alias("event_id"),
         "entity",
         F.col("t").alias("at"),
-        *[F.col(f"known.`{c}`").alias(c) for c in ("valid_on", "recorded_at", "version_id", *payload)],
+        *[F.col(f"known.`{c}`").alias(c) for c in ("valid_on", "recorded_at", "version_id")],
+        *[F.col(f"known.`{c}`").alias(f"{c}_version" if c.lower() in ("event_id", "at") else c) for c in payload],
     )

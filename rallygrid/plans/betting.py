@@ -106,9 +106,10 @@ STRATEGIES = {
 
 
 def strategy_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping named masks in one pass."""
+    """Overlapping named masks in one pass; a strategy without bets has n = 0."""
     names = F.array_compact(F.array(*[F.when(F.expr(m), F.lit(n)) for n, m in STRATEGIES.items()]))
-    return bets(spark, d).withColumn("strategy", F.explode(names)).groupBy("strategy").agg(*_stats())
+    own = bets(spark, d).withColumn("strategy", F.explode(names)).groupBy("strategy").agg(*_stats())
+    return spark.createDataFrame([(n,) for n in STRATEGIES], "strategy string").join(own, "strategy", "left").fillna(0, ["n"])
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:

@@ -40,11 +40,14 @@ def trailing_totals(
         *[F.col(f"`{m}`").cast("long").alias(f"m{i}") for i, m in enumerate(measures)],
     ).filter("e is not null and d is not null")
     span = range(len(measures))
+    # Densifying multiplies rows, so the few daily rows are spread by a set number of partitions,
+    # which adaptive coalescing leaves alone.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     daily = rows.groupBy("e", "d").agg(
         F.count("*").alias("n"),
         *[F.sum(f"m{i}").alias(f"s{i}") for i in span],
         *[F.count(f"m{i}").alias(f"c{i}") for i in span],
-    )
+    ).repartition(parts, "e")
     # Each active day unfolds to the days up to the next one, so densifying needs no join.
     follows = Window.partitionBy("e").orderBy("d")
     until = F.coalesce(F.date_sub(F.lead("d").over(follows), 1), F.col("d"))
@@ -59,11 +62,20 @@ def trailing_totals(
           for c in ("n", *[f"s{i}" for i in span], *[f"c{i}" for i in span])],
     )
     out = [F.col("e").alias(entity), F.col("day")]
+    # The sum over the last p rows is the running sum less the one p rows before: two window
+    # values a row whatever the period, where a sliding frame is summed anew for every row.
+    ordered = Window.partitionBy("e").orderBy("day")
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for c in ("n", *[f"s{i}" for i in span], *[f"c{i}" for i in span]):
+        dense = dense.withColumn(c, F.sum(c).over(running))
+
+    def trailing(c: str, p: int) -> Column:
+        return F.col(c) - F.lag(c, p, 0).over(ordered)
+
     for p in periods:
-        frame = Window.partitionBy("e").orderBy("day").rowsBetween(1 - p, 0)
-        out.append(F.sum("n").over(frame).alias(f"events_{p}"))
+        out.append(trailing("n", p).alias(f"events_{p}"))
         for i, m in enumerate(measures):
-            total, known = F.sum(f"s{i}").over(frame), F.sum(f"c{i}").over(frame)
+            total, known = trailing(f"s{i}", p), trailing(f"c{i}", p)
             out += [
                 total.alias(f"{m}_sum_{p}"),
                 F.when(known > 0, total / known).alias(f"{m}_avg_{p}"),

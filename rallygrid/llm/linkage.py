@@ -189,7 +189,8 @@ def _name_level(x: str, y: str) -> Column:
 
 
 def _spelling(x: Column, y: Column) -> Column:
-    d = F.levenshtein(x, y)
+    d = F.levenshtein(x, y, 3)  # -1 beyond three edits
+    d = F.when(d < 0, 99).otherwise(d)
     letters = lambda c: F.array_sort(F.split(c, ""))
     d = F.when((d == 2) & (letters(x) == letters(y)), 1).otherwise(d)  # two letters changed places
     shorter = F.least(F.length(x), F.length(y))

@@ -7,7 +7,8 @@ Benjamini-Hochberg procedure over all lengths of all sources keeps the false dis
 under ``fdr``. *Endings*: the segment after the last sentence border is incomplete unless it
 ends like a sentence, is a closed bracket, or is a habitual way of closing texts in its source
 or in the corpus (sign-offs, final scores, tags), which is learned from all texts: cut
-segments are spread over very many forms, sign-offs over few.
+segments are spread over very many forms, sign-offs over few. (In a source of a handful of
+sentences repeated over and over, a cut form may recur like a sign-off and pass as one.)
 
 A text is cut when its ending is incomplete. Where a segment ends in a number and a stop, which
 may be half of a decimal, it is held against the number endings inside all texts; a significant

@@ -54,14 +54,14 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c)).casefold()
 
 
-def parse_name(name: str | None) -> tuple[str, str, str, str]:
+def parse_name(name: str | None) -> tuple[str, str, str | None, str | None]:
     """Surname letters without particles and blanks, the initial of the given name, and the
-    first and last part of a hyphenated surname (else the surname twice).
+    first and last part of a hyphenated surname (else None twice).
 
     Understands ``Surname I.``, ``I. Surname``, ``Surname, Given``, ``Given Surname``, a bare
-    surname, several initials and a bracketed country; four empty texts for nothing."""
+    surname, several initials and a bracketed country; empty texts for nothing."""
     if not name:
-        return "", "", "", ""
+        return "", "", None, None
     text = re.sub(r"\([^)]*\)?", " ", fold(name))
     given = ""
     if "," in text:
@@ -73,18 +73,20 @@ def parse_name(name: str | None) -> tuple[str, str, str, str]:
     long = [w for w in words if len(w) > 1]
     short = [w for w in words if len(w) == 1]
     if not long:
-        return ("".join(words), given, *["".join(words)] * 2)
+        return "".join(words), given, None, None
     if not given:
         if short:
             given = short[0]
         elif len(long) > 1:
             given, long = long[0][0], long[1:]
     parts = [re.sub(r"[\W_]", "", p) for p in "".join(long).split("-")]
+    if len(parts) == 1:
+        return parts[0], given, None, None
     return "".join(parts), given, parts[0], parts[-1]
 
 
 def _parse_batches(names: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    seen: dict[str | None, tuple[str, str, str, str]] = {}
+    seen: dict[str | None, tuple[str, str, str | None, str | None]] = {}
     for batch in names:
         if len(seen) > 500_000:
             seen.clear()
@@ -130,7 +132,8 @@ def _keys(with_initials: bool) -> Column:
             F.when(F.col("b.ini") != "", F.concat(F.lit("FI:"), a, F.lit("|"), F.col("b.ini"))),
             F.when(F.col("a.ini") != "", F.concat(F.lit("FI:"), b, F.lit("|"), F.col("a.ini"))),
         ]
-    return F.array_distinct(F.array_compact(F.array(*out)))
+    # Hashes travel lighter; keys that collide only share a block.
+    return F.array_distinct(F.transform(F.array_compact(F.array(*out)), lambda k: F.xxhash64(k)))
 
 
 def _propose(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -180,10 +183,11 @@ def _name_level(x: str, y: str) -> Column:
     """Agreement of two parsed surnames (columns of ``parse_name``): 4 equal, 3 one slip, cut
     short or one part of a double name, 2 and 1 more slips, 0 beyond any misspelling."""
     c = F.col
+    part = lambda n, k: c(f"{n}.sur") if k == "sur" else F.coalesce(c(f"{n}.{k}"), c(f"{n}.sur"))
     parts = F.greatest(
-        *[_spelling(c(f"{x}.{i}"), c(f"{y}.{j}")) for i, j in (("sur", "head"), ("sur", "tail"), ("head", "sur"), ("tail", "sur"))]
+        *[_spelling(part(x, i), part(y, j)) for i, j in (("sur", "head"), ("sur", "tail"), ("head", "sur"), ("tail", "sur"))]
     )
-    double = (c(f"{x}.head") != c(f"{x}.sur")) | (c(f"{y}.head") != c(f"{y}.sur"))
+    double = c(f"{x}.head").isNotNull() | c(f"{y}.head").isNotNull()
     whole = _spelling(c(f"{x}.sur"), c(f"{y}.sur"))
     return F.when((whole < 3) & double, F.greatest(whole, F.least(parts, F.lit(3)))).otherwise(whole)
 

@@ -13,7 +13,7 @@ def test_names():
         assert parse_name(text)[:2] == ("umbrafell", "s"), text
     assert parse_name("Umbrafell")[:2] == ("umbrafell", "")
     assert parse_name("Zerto El Roséwick-Döruv") == ("rosewickdoruv", "z", "rosewick", "doruv")
-    assert parse_name(None) == parse_name("  ") == ("", "", "", "")
+    assert parse_name(None) == parse_name("  ") == ("", "", None, None)
 
 
 def test_em_separates():

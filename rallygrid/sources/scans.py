@@ -31,8 +31,9 @@ def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, s
 
 
 def provenance(df: DataFrame, skip_names: Sequence[str] = ()) -> DataFrame:
-    name = F.col("_metadata.file_name")
-    out = df.select("*", name.alias("source_file"))
+    """Adds the file's name and season, in place of columns of these names in the file."""
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("source_file", "season")]
+    out = df.select(*own, F.col("_metadata.file_name").alias("source_file"))
     for part in skip_names:
         out = out.filter(~F.contains("source_file", F.lit(part)))
     return out.withColumn("season", F.substring("source_file", 1, 4).try_cast("int"))

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_twin(spark, name):
     con = duckdb.connect()
-    for t in ("training_matches", "atp_odds"):
+    for t in ("training_matches", "atp_odds", "documents", "eval_items"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = sorted(map(tuple, QUERIES[name](spark, SF).collect()))
     assert got == sorted(con.execute(ORACLES[name]).fetchall())

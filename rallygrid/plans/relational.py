@@ -207,6 +207,12 @@ def value_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "training_matches").groupBy("surface", "tourney_level").agg(F.count("*").alias("n"), F.countDistinct("player_a_id").alias("players"))
 
 
+def tour_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Matches per tour label (level C is the challenger tour) and year."""
+    tour = F.when(F.col("tourney_level") == "C", "CHALLENGER").otherwise("ATP")
+    return matches(spark, d).groupBy(tour.alias("tour"), F.year("match_day").cast("long").alias("year")).agg(F.count("*").alias("n"))
+
+
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     """Line items by flag and status: sums, means and counts in one pass."""
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -226,7 +232,7 @@ def yearly_orders(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     clean_coerce, null_tokens, tiebreak_regex, name_keys, quoted_name_keys, consolidate_master, dedupe_keep_first, lookup_join, semi_join_coverage, uncovered_pairs,
     date_overlap, date_shift_sweep, exact_date_pair_join, set_intersect, set_except, set_union, fuzzy_names, inner_orientation_join, asof_backward, training_mirror,
-    daily_picks, hash_sample, stratified_split, temporal_split, value_counts, pricing_summary, yearly_orders,
+    daily_picks, hash_sample, stratified_split, temporal_split, value_counts, tour_labels, pricing_summary, yearly_orders,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -274,6 +280,7 @@ SELECT payload_id, match_pos, edge AS edge_a, greatest(edge, -edge) AS max_edge,
  CASE WHEN abs(edge) >= 0.15 THEN 'HIGH' WHEN abs(edge) >= 0.10 THEN 'MEDIUM' WHEN abs(edge) >= 0.05 THEN 'LOW' ELSE 'NONE' END AS tier FROM e""",
     "temporal_split": "SELECT CASE WHEN match_date < TIMESTAMP '2023-01-01' THEN 'train' ELSE 'test' END AS part, count(*) AS n, CAST(sum(target) AS BIGINT) AS wins FROM training_matches WHERE match_date IS NOT NULL GROUP BY 1",
     "value_counts": "SELECT surface, tourney_level, count(*) AS n, count(DISTINCT player_a_id) AS players FROM training_matches GROUP BY ALL",
+    "tour_labels": f"WITH {MATCHES} SELECT CASE WHEN tourney_level = 'C' THEN 'CHALLENGER' ELSE 'ATP' END AS tour, CAST(year(match_day) AS BIGINT) AS year, count(*) AS n FROM matches GROUP BY ALL",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice*(1-l_discount)), 2) AS sum_net, round(avg(l_discount), 6) AS avg_discount, count(*) AS n FROM lineitem GROUP BY ALL",
     "yearly_orders": "SELECT n_name, CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
 }

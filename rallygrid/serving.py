@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rallygrid.functions.metrics import ratios, suite
 from rallygrid.functions.text import canonical_name
 from rallygrid.ml import score
+from rallygrid.operators.joins import backward_asof
 from rallygrid.plans.base import matches, player_matches
 from rallygrid.plans.players import player_lookup, player_state_latest
 
@@ -58,3 +59,19 @@ def build_features(spark: SparkSession, d: str, a: str, b: str) -> DataFrame:
 def predict_match(spark: SparkSession, d: str, model: PipelineModel, a: str, b: str) -> dict:
     row = score(model, build_features(spark, d, a, b)).first()
     return {"player_a": a, "player_b": b, "probability_a": row["p"], "probability_b": 1 - row["p"], "fair_odds_a": 1 / row["p"] if row["p"] > 0 else None}
+
+
+def historical_features(events: DataFrame, states: DataFrame) -> DataFrame:
+    """Differences as of each event's day, in batch: the last state of either player at or before
+    it; an unknown value counts 0 in the difference.
+
+    ``events``: ``event_id, player_a_id, player_b_id, day``; ``states``: ``player_id, state_day,
+    history_id, elo``. One as-of merge over both sides' long form, then one row per event."""
+    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("player_a_id").alias("player_id")), F.struct(F.lit("b").alias("side"), F.col("player_b_id").alias("player_id"))))
+    long = events.select("event_id", "day", sides.alias("s")).select("event_id", "day", "s.*")
+    known = backward_asof(long, states, ["player_id"], "day", "state_day", "history_id", ["elo"])
+    pick = lambda side, c: F.coalesce(F.max(F.when(F.col("side") == side, c)), F.lit(0))
+    idle = F.greatest(F.lit(0), F.date_diff("day", "state_day"))
+    return known.groupBy("event_id").agg(
+        (pick("a", F.col("elo")) - pick("b", F.col("elo"))).alias("delta_elo"), (pick("a", idle) - pick("b", idle)).alias("delta_idle")
+    )

@@ -61,3 +61,13 @@ def test_models_and_serving(spark, tmp_path):
     assert h.n == h.wins_a + h.wins_b
     with pytest.raises(ValueError):
         serving.build_features(spark, SF, a, "nobody")
+
+
+def test_historical_features(spark):
+    import datetime as dt
+
+    d = lambda n: dt.date(2020, 1, n)
+    states = spark.createDataFrame([("a", d(1), 1, 1600.0), ("a", d(5), 2, 1700.0), ("b", d(2), 3, 1500.0)], "player_id string, state_day date, history_id long, elo double")
+    events = spark.createDataFrame([(1, "a", "b", d(4)), (2, "b", "a", d(9)), (3, "a", "zz", d(5))], "event_id long, player_a_id string, player_b_id string, day date")
+    out = {r.event_id: (r.delta_elo, r.delta_idle) for r in serving.historical_features(events, states).collect()}
+    assert out == {1: (100.0, 1), 2: (-200.0, 3), 3: (1700.0, 0)}

@@ -6,9 +6,11 @@ neighbouring lengths; a Chernoff bound gives a p-value that errs on the safe sid
 Benjamini-Hochberg procedure over all lengths of all sources keeps the false discovery rate
 under ``fdr``. *Endings*: the segment after the last sentence border is incomplete unless it
 ends like a sentence, is a closed bracket, or is a habitual way of closing texts in its source
-or in the corpus (sign-offs, final scores, tags), which is learned from all texts: cut
-segments are spread over very many forms, sign-offs over few. (In a source of a handful of
-sentences repeated over and over, a cut form may recur like a sign-off and pass as one.)
+or in the corpus (sign-offs, final scores, tags), which is learned from all distinct texts: cut
+segments are spread over very many forms, sign-offs over few. Copies of a text, told by its last
+``TAIL`` characters, are one text in all statistics, however often they are posted; all rows are
+judged. (In a source of a handful of sentences put together over and over, a cut form may recur
+like a sign-off and pass as one.)
 
 A text is cut when its ending is incomplete. Where a segment ends in a number and a stop, which
 may be half of a decimal, it is held against the number endings inside all texts; a significant
@@ -28,6 +30,7 @@ NEIGHBOURS = 60
 SIGN_OFF_SHARE = 0.004
 SIGN_OFF_LEAST = 3
 NUMBER_SUPPORT = 3
+TAIL = 160
 
 _CLOSERS = r"""["'”’»)\]]*"""
 _BORDER = r"(?s)^.*(?:[.!?…。！？]" + _CLOSERS + r"\s+|[\r\n]\s*)"
@@ -52,6 +55,10 @@ def masked(segment: Column) -> Column:
     return F.regexp_replace(out, r"\d+", "9")
 
 
+def _tail_digest(end: Column) -> Column:
+    return F.xxhash64(F.substring(F.lower(end), -TAIL, TAIL))
+
+
 def _number_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"\d+", "9")
 
@@ -101,8 +108,8 @@ def judge_endings(
 
     ``documents``: ``doc_id, text, source``; other columns are ignored. A null source is a
     source of its own. Null, empty and blank texts have no ending and count as whole. Repeated
-    rows are judged alike and count in the statistics, as ties do; an empty table gives no
-    rows. Texts of any length are read whole.
+    rows are judged alike and count once in the statistics; an empty table gives no rows. Texts
+    of any length are read whole.
     """
     docs = documents.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("src"), F.col("source"))
     end = _blank_free_end(F.coalesce("text", F.lit("")))
@@ -123,6 +130,7 @@ def judge_endings(
             "source",
             "src",
             F.coalesce(F.length("text"), F.lit(0)).alias("length"),
+            _tail_digest(F.col("end")).alias("digest"),
             "form",
             F.when(F.col("form") == "open", masked(F.col("segment"))).alias("sig"),
             F.when(
@@ -130,28 +138,33 @@ def judge_endings(
             ).alias("number"),
         )
     )
-    sizes = narrow.groupBy("src").agg(F.count("*").alias("size"))
-    everything = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # Copies under new ids say nothing about habits: only distinct texts are learned from.
+    texts = cut_lineage(narrow.select("src", "digest", "sig").distinct())
+    sizes = texts.groupBy("src").agg(F.countDistinct("digest").alias("size"))
+    everything = texts.agg(F.countDistinct("digest")).first()[0]
     # A sign-off holds `share` of a source or of the corpus, so there are at most 1 / share of each.
-    by_source = narrow.filter("form = 'open'").groupBy("src", "sig").agg(F.count("*").alias("n"))
-    by_source = cut_lineage(by_source)
-    in_source = by_source.join(sizes, "src").filter(
+    formed = texts.filter("sig is not null")
+    in_source = formed.groupBy("src", "sig").agg(F.count("*").alias("n")).join(sizes, "src").filter(
         (F.col("n") >= least) & (F.col("n") >= F.lit(share) * F.col("size"))
     ).select("src", "sig", F.lit(True).alias("habit"))
-    in_corpus = by_source.groupBy("sig").agg(F.sum("n").alias("n")).filter(
+    in_corpus = formed.groupBy("sig").agg(F.countDistinct("digest").alias("n")).filter(
         (F.col("n") >= least) & (F.col("n") >= F.lit(share * everything))
     ).select("sig", F.lit(True).alias("custom"))
     # Number endings inside texts: keys that stand before white space somewhere.
     asked = narrow.filter("form = 'number' and number <> ''").select("number").distinct()
     inner = (
         documents.filter("text is not null")
-        .select(F.explode(F.regexp_extract_all("text", F.lit(_NUMBER_END + r"(?=\s+\S)"), F.lit(1))).alias("x"))
+        .select(
+            _tail_digest(_blank_free_end(F.col("text"))).alias("digest"),
+            F.explode(F.regexp_extract_all("text", F.lit(_NUMBER_END + r"(?=\s+\S)"), F.lit(1))).alias("x"),
+        )
         .groupBy(_number_key(F.col("x")).alias("number"))
-        .agg(F.count("*").alias("support"))
+        .agg(F.countDistinct("digest").alias("support"))
     )
     supported = inner.join(asked, "number", "left_semi")
 
-    limits = significant_lengths(narrow.filter("form <> 'none'").select(F.col("src").alias("source"), "length"), fdr)
+    lengths = narrow.filter("form <> 'none'").select(F.col("src").alias("source"), "digest", "length").distinct()
+    limits = significant_lengths(lengths.drop("digest"), fdr)
     limits = limits.select(F.col("source").alias("src"), "length", F.lit(True).alias("limit"))
 
     in_source, in_corpus = cut_lineage(in_source), cut_lineage(in_corpus)

@@ -63,3 +63,19 @@ def test_edge_cases(spark):
 def test_mask(spark):
     df = spark.createDataFrame([("Final: 6-4 7-6(3) [10-8]",), ("#Tennis #Oslo",), ("[18+]",)], "s string")
     assert [r[0] for r in df.select(masked(F.col("s"))).collect()] == ["final: S", "#a #a", "[9+]"]
+
+
+def test_copies_of_a_cut_text_are_no_habit(spark):
+    rows, truth = corpus(1200)
+    last, cut = max(r[0] for r in rows), "The second set went to the visitors. They were then found to be in the mid"
+    copies = [(last + 1 + i, cut, ["forum", "wire", "blog"][i % 3], "x") for i in range(len(rows) // 2)]
+    # Another text of the source that ends in the same words, and copies with openings of their own.
+    others = [(last + 1 + len(copies) + i, x, "forum", "x") for i, x in enumerate(
+        ["Rain fell, " + "they were then found to be in the mid", *[f"Report {i}: " + "long rally " * 20 + "and they won the tie" for i in range(40)]]
+    )]
+    df = spark.createDataFrame(rows + copies + others, "doc_id long, text string, source string, cut string")
+    got = {r.doc_id for r in judge_endings(df).collect() if r.cut}
+    assert {r[0] for r in copies + others} <= got
+    assert len(got & truth) / len(truth) > 0.97
+    # Sign-offs of distinct texts are habits still.
+    assert len(got & {r[0] for r in rows}) < 1.1 * len(truth)

@@ -29,7 +29,7 @@ def logistic_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
-    model = boosted_trees(FEATURES, trees=20).fit(rows.filter("year < 2022"))
+    model = boosted_trees(FEATURES).fit(rows.filter("year < 2022"))
     return score(model, rows.filter("year >= 2022")).select("history_id", "target", "p")
 
 

@@ -1,8 +1,8 @@
-"""Fuzzy candidates between two name lists, blocked and ranked."""
+"""Fuzzy candidates between two name lists, blocked without loss and ranked."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,21 +11,72 @@ def similarity(a, b):
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def _edits(length: Column, least: float) -> Column:
+    """The most edits that leave a ratio of ``least`` where the longer name has that length."""
+    return F.floor(length * F.lit(1 - least) + F.lit(1e-9)).cast("int")
+
+
+def _start(i: Column, length: Column, k: Column) -> Column:
+    """Where piece ``i`` of the ``k + 1`` pieces of a name starts, counted from 0."""
+    return F.floor(i * length / (k + 1)).cast("int")
+
+
+def _range(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def _key(length: Column, i: Column, piece: Column) -> Column:
+    return F.concat_ws(":", length.cast("string"), i.cast("string"), piece)
+
+
+def _pieces(name: Column, least: float) -> Column:
+    """Keys of a name as the longer one of a pair: its pieces."""
+    m = F.length(name)
+    k = _edits(m, least)
+    end = lambda i: _start(i + 1, m, k)
+    return F.transform(F.sequence(F.lit(0), k), lambda i: _key(m, i, F.substring(name, _start(i, m, k) + 1, end(i) - _start(i, m, k))))
+
+
+def _places(name: Column, least: float, longer: int) -> Column:
+    """Keys of a name as the shorter one: for each length of the other (``longer`` more at
+    least), whatever stands where one of its pieces can have moved to."""
+    n = F.length(name)
+
+    def of_piece(m: Column, k: Column, i: Column) -> Column:
+        start, size = _start(i, m, k), _start(i + 1, m, k) - _start(i, m, k)
+        low = F.greatest(F.lit(0), (start - F.floor((k + m - n) / 2)).cast("int"))
+        high = F.least(n - size, (start + F.floor((k - m + n) / 2)).cast("int"))
+        return F.transform(_range(low, high), lambda at: _key(m, i, F.substring(name, at + 1, size)))
+
+    def of_length(m: Column) -> Column:
+        k = _edits(m, least)
+        return F.flatten(F.transform(F.sequence(F.lit(0), k), lambda i: of_piece(m, k, i)))
+
+    most = F.floor(n / F.lit(least) + F.lit(1e-9)).cast("int")
+    return F.array_distinct(F.flatten(F.transform(_range(n + longer, most), of_length)))
+
+
 def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float = 0.75, top: int = 3) -> DataFrame:
     """``name, candidate, ratio, place``: for each distinct left ``name`` the ``top`` most
-    similar distinct right ones of at least ``least``.
+    similar distinct right ones of at least ``least`` (above 0).
 
-    Names of a ratio of 0.75 or more share their first or their last two letters in all but
-    contrived cases; blocking on either keeps the join an equi-join."""
-    key = lambda df, n: df.select(F.col("name").alias(n)).filter("name is not null and name <> ''").distinct().withColumn(
-        "key", F.explode(F.array(F.concat(F.lit("<"), F.substring(n, 1, 2)), F.concat(F.lit(">"), F.substring(n, -2, 2))))
+    Blocking loses no pair. If the longer name has m letters, at most k = (1 - least) m edits part
+    the two, so one of its k + 1 pieces stands unchanged in the shorter one. Where it moved by s
+    letters, at least |s| edits lie before it and |d + s| behind, d being the difference of
+    the lengths, so -(k + d) / 2 <= s <= (k - d) / 2. Both sides list these keys: an equi-join."""
+    names = lambda df, n: df.select(F.col("name").alias(n)).filter("name is not null and name <> ''").distinct()
+    l, r = names(left, "l"), names(right, "r")
+    met = lambda a, b: a.join(b, "key").select("l", "r")
+    keyed = lambda df, keys: df.withColumn("key", F.explode(keys))
+    pairs = met(keyed(l, _pieces(F.col("l"), least)), keyed(r, _places(F.col("r"), least, 0))).unionByName(
+        met(keyed(l, _places(F.col("l"), least, 1)), keyed(r, _pieces(F.col("r"), least)))
     )
-    pairs = key(left, "l").join(key(right, "r"), "key").select("l", "r").distinct()
     ratio = similarity(F.col("l"), F.col("r"))
     w = Window.partitionBy("name").orderBy(F.col("ratio").desc(), "candidate")
     return (
-        pairs.select(F.col("l").alias("name"), F.col("r").alias("candidate"), ratio.alias("ratio"))
-        .filter(F.col("ratio") >= least)
+        pairs.filter(ratio >= least)
+        .distinct()
+        .select(F.col("l").alias("name"), F.col("r").alias("candidate"), ratio.alias("ratio"))
         .withColumn("place", F.row_number().over(w))
         .filter(F.col("place") <= top)
     )

@@ -142,9 +142,10 @@ def set_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
-    """For the surnames of the second bookmaker's losers: the most similar training names."""
-    left = table(spark, d, "bookmaker_listings").select(canonical_name(F.col("Loser")).alias("name"))
-    right = table(spark, d, "atp_odds").select(canonical_name(F.col("Loser")).alias("name"))
+    """For the players of the second bookmaker: the most similar names of the first."""
+    both = lambda t: table(spark, d, t).select(F.explode(F.array("Winner", "Loser")).alias("name"))
+    left = both("bookmaker_listings").select(canonical_name(F.col("name")).alias("name"))
+    right = both("atp_odds").select(canonical_name(F.col("name")).alias("name"))
     out = fuzzy_candidates(left, right)
     return out.select("name", "candidate", F.round("ratio", 6).alias("ratio"), "place")
 

@@ -84,29 +84,45 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     ).filter("field_value is not null")
 
 
+#: All scalar fields of both payload forms, by type: column -> key below the node.
+P6_PLAYER = {"id": "id", "name": "name", "country": "countryAcr", "odd": "odd", "seed": "seed", "image": "image", "image_p_name": "image_p_name"}
+#: A country is a text in one form and an object in the other.
+P6_TOURNAMENT = {
+    "id": "id", "name": "name", "date": "date", "rank_id": "rankId", "rank": "rank", "court_id": "courtId",
+    "country": "country", "country_acr": "countryAcr", "country_acronym": "country.acronym", "country_name": "country.name",
+}
+P6_COURT = {"id": "id", "name": "name"}
+P6_ODDS = {
+    "k1": "k1", "k2": "k2", "total": "total", "ktb": "ktb", "ktm": "ktm", "id_b_o": "id_b_o", "id1_o": "id1_o", "id2_o": "id2_o",
+    "f1": "f1", "kf1": "kf1", "k20": "k20", "k21": "k21",
+}
+P6_MATCH = {
+    "id": "id", "date": "date", "round_id": "roundId", "round_name": "round.name", "round_own_id": "round.id", "type": "type", "rank": "rank",
+    "court": "court", "h2h": "h2h", "tournament_id": "tournamentId", "player1_id": "player1Id", "player2_id": "player2Id",
+    "seed1": "seed1", "seed2": "seed2", "time_game": "timeGame", "live": "live",
+}
+
+
 def p6_players(spark: SparkSession, d: str) -> DataFrame:
     nodes = _payload_nodes(spark, d)
-    sides = [
-        typed_table(nodes, f"[].player{i}", {"id": "id", "name": "name", "country": "countryAcr"}).withColumn("side", F.lit(i))
-        for i in (1, 2)
-    ]
+    sides = [typed_table(nodes, f"[].player{i}", P6_PLAYER).withColumn("side", F.lit(i)) for i in (1, 2)]
     return sides[0].unionByName(sides[1])
 
 
 def p6_tournaments(spark: SparkSession, d: str) -> DataFrame:
-    return typed_table(_payload_nodes(spark, d), "[].tournament", {"id": "id", "name": "name", "date": "date", "rank_id": "rankId"})
+    return typed_table(_payload_nodes(spark, d), "[].tournament", P6_TOURNAMENT)
 
 
 def p6_courts(spark: SparkSession, d: str) -> DataFrame:
-    return typed_table(_payload_nodes(spark, d), "[].tournament.court", {"id": "id", "name": "name"})
+    return typed_table(_payload_nodes(spark, d), "[].tournament.court", P6_COURT)
 
 
 def p6_odds(spark: SparkSession, d: str) -> DataFrame:
-    return typed_table(_payload_nodes(spark, d), "[].odds", {"k1": "k1", "k2": "k2", "total": "total", "ktb": "ktb", "ktm": "ktm"})
+    return typed_table(_payload_nodes(spark, d), "[].odds", P6_ODDS)
 
 
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:
-    return typed_table(_payload_nodes(spark, d), "[]", {"id": "id", "date": "date", "round_id": "roundId"})
+    return typed_table(_payload_nodes(spark, d), "[]", P6_MATCH)
 
 
 def p7_trailing_totals(spark: SparkSession, d: str) -> DataFrame:

@@ -156,7 +156,12 @@ def _run(stream: DataFrame, mode: str) -> DataFrame:
 
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    if mode == "complete":
+        # Files can only be appended to; each batch holds the whole result, so the last one stays.
+        q = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out")).start()
+    else:
+        q = writer.format("parquet").start(f"{base}/out")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -173,7 +178,8 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _run(windowed_counts(_feed(spark, d), "loaded_at", "surface", "7 days"), "append")
+    """Deliveries per week and surface; complete mode, so windows open at the end count too."""
+    return _run(windowed_counts(_feed(spark, d), "loaded_at", "surface", "7 days"), "complete")
 
 
 def stream_ratings(spark: SparkSession, d: str) -> DataFrame:

@@ -79,3 +79,30 @@ def test_copies_of_a_cut_text_are_no_habit(spark):
     assert len(got & truth) / len(truth) > 0.97
     # Sign-offs of distinct texts are habits still.
     assert len(got & {r[0] for r in rows}) < 1.1 * len(truth)
+
+
+def test_a_limit_that_cuts_texts_in_one_form(spark):
+    """Texts of one make, cut at one length, all end alike: only the length tells that from a
+    sign-off."""
+    rows, _ = corpus(1500)
+    last = max(r[0] for r in rows)
+    make = lambda i: (f"Report {i:05d} of the day. " + "All courts were dry. " * 5 + "Play went on until the light failed in the evening.")[:145]
+    made = [(last + 1 + i, make(i), "wire", "x") for i in range(60)]
+    df = spark.createDataFrame(rows + made, "doc_id long, text string, source string, cut string")
+    flagged = lambda **k: {r.doc_id for r in judge_endings(df, **k).collect() if r.cut}
+    assert {r[0] for r in made} <= flagged()
+    import rallygrid.llm.cut_text as module
+
+    lengths, module.significant_lengths = module.significant_lengths, lambda docs, fdr: lengths(docs, 1e-300)
+    try:
+        assert not {r[0] for r in made} & flagged()
+    finally:
+        module.significant_lengths = lengths
+
+
+def test_half_a_decimal(spark):
+    whole = [f"The price moved from 1.{i:02d} to 2.{i:02d} overnight. Play started on court 4. All was well today." for i in range(40)]
+    ends = ["Rain fell today. The price moved from 1.", "Rain fell today. Play started on court 4."]
+    rows = [(i, t, "s") for i, t in enumerate(whole + ends)]
+    got = {r.doc_id for r in judge_endings(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r.cut}
+    assert got == {len(whole)}

@@ -31,3 +31,8 @@ def float_date(text: Column) -> Column:
 def date_int(date: Column) -> Column:
     """A date as the integer yyyymmdd."""
     return F.date_format(date, "yyyyMMdd").cast("int")
+
+
+def date_label(date: Column) -> Column:
+    """A date as ``07 Aug 2026``."""
+    return F.date_format(date, "dd MMM yyyy")

@@ -14,9 +14,18 @@ BASE_K = {"G": 40.0, "M": 32.0, "500": 28.0}
 OTHER_K = 24.0
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """Rounded to ``digits`` places, halves to the even neighbour."""
+    return F.rint(value * float(10**digits)) / float(10**digits)
+
+
+def half_even_sql(value: str, digits: int) -> str:
+    return f"round_even(({value}) * {float(10**digits)}::DOUBLE, 0) / {float(10**digits)}::DOUBLE"
+
+
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """part / whole * 100, null unless whole is positive."""
-    return F.when(whole > 0, F.round(part / whole * 100, digits))
+    return F.when(whole > 0, half_even(part / whole * 100, digits))
 
 
 def decayed(rating: Column, days: Column, tau: float) -> Column:

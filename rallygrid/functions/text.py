@@ -47,3 +47,8 @@ def quoted_last_initial(name: Column, joint: str = "_") -> Column:
 def pair_key(a: Column, b: Column, joint: str = "|") -> Column:
     """An order-insensitive key; null when a name is null."""
     return F.concat(F.least(a, b), F.lit(joint), F.greatest(a, b)) if joint else F.concat(F.least(a, b), F.greatest(a, b))
+
+
+def capitalised(text: Column) -> Column:
+    """First letter upper case, the rest lower case."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 2_147_483_647)))

@@ -88,18 +88,21 @@ def once_per_match(df: DataFrame, varying: Sequence[str] = ("row_id", "loaded_at
     """One row per match and player where deliveries repeat it under a new row id.
 
     Deliveries of one match agree in all but ``varying`` columns. They are grouped by player,
-    opponent, tournament and round plus a 64-bit digest of the rest; the result has those
-    columns, ``match_day`` (the largest readable date of the deliveries) and the measures.
+    opponent, tournament and round plus a 64-bit digest of the rest; the result has all columns but
+    ``tourney_date``, ``match_day`` (the largest readable date of the deliveries), and ``row_id`` and
+    ``loaded_at`` of the latest delivery. What a query doesn't use is pruned before the shuffle.
     """
     same = ["player_id", "opponent_id", "tourney_id", "round"]
     rest = [c for c in df.columns if c not in (*varying, *same)]
-    ints = [f.name for f in df.schema.fields if f.dataType.simpleString() == "int" and f.name in rest]
     digest = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in rest])
+    latest = F.struct("loaded_at", "row_id")
     return (
         df.withColumn("content_digest", digest)
         .groupBy(*same, "content_digest")
         .agg(
             F.max(readable_date(F.col("tourney_date"))).alias("match_day"),
-            *[F.first(f"`{c}`").alias(c) for c in ints],
+            F.max(latest).getField("row_id").alias("row_id"),
+            F.max("loaded_at").alias("loaded_at"),
+            *[F.first(f"`{c}`").alias(c) for c in rest],
         )
     )

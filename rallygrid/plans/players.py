@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallygrid.functions.formulas import TAU_OVERALL, TAU_SURFACE, k_factor, three_way
-from rallygrid.functions.metrics import PLAUSIBLE_SQL, RATIOS_SQL, SUITE_SQL, plausible, ratios, suite
+from rallygrid.functions.metrics import FULL_SQL, PLAUSIBLE_SQL, RATIOS_SQL, SUITE_SQL, full_suite, plausible, ratios, suite
 from rallygrid.operators.elo import elo_fold
 from rallygrid.operators.longform import winner_loser_rows
 from rallygrid.operators.windows import before_date_last_n, days_since_last, last_n, rows_before
@@ -92,15 +92,19 @@ def player_metrics_windows(spark: SparkSession, d: str) -> DataFrame:
         .groupBy("player_id", "level_group", "span")
         .agg(*suite())
         .filter("matches >= 3")
-        .select("player_id", "level_group", "span", "matches", "wins", *ratios())
+        .select("player_id", "level_group", "span", "matches", "wins", *full_suite())
     )
 
 
 def own_latest_window(spark: SparkSession, d: str) -> DataFrame:
     """Matches and wins in the three months up to the player's own newest date."""
-    w = Window.partitionBy("player_id")
-    rows = player_matches(spark, d).withColumn("newest", F.max("match_day").over(w)).filter(F.col("match_day") >= F.add_months("newest", -3))
-    return rows.groupBy("player_id").agg(F.count("*").alias("matches"), F.sum("won_match").cast("long").alias("wins"))
+    daily = player_matches(spark, d).filter("player_id is not null").groupBy("player_id", "match_day").agg(
+        F.count("*").alias("n"), F.sum("won_match").cast("long").alias("won")
+    )
+    # Days per player, not matches: bounded by the calendar.
+    newest = daily.withColumn("newest", F.max("match_day").over(Window.partitionBy("player_id")))
+    rows = newest.filter(F.col("match_day") >= F.add_months("newest", -3))
+    return rows.groupBy("player_id").agg(F.sum("n").alias("matches"), F.sum("won").alias("wins"))
 
 
 def coverage_by_year(spark: SparkSession, d: str) -> DataFrame:
@@ -333,7 +337,7 @@ ORACLES = {
     "player_metrics_windows": f"""WITH {PM}, ok AS (SELECT *, max(match_day) OVER () AS newest FROM pm WHERE {PLAUSIBLE_SQL}),
 g AS ({' UNION ALL '.join(f"SELECT *, '{k}' AS level_group FROM ok WHERE tourney_level IN {v if len(v) > 1 else '(' + repr(v[0]) + ')'}" for k, v in GROUPS.items())}),
 w AS (SELECT *, 'CAREER' AS span FROM g UNION ALL SELECT *, '3M' FROM g WHERE match_day >= newest - INTERVAL 3 MONTH UNION ALL SELECT *, '6M' FROM g WHERE match_day >= newest - INTERVAL 6 MONTH),
-s AS (SELECT player_id, level_group, span, {SUITE_SQL} FROM w GROUP BY 1, 2, 3) SELECT player_id, level_group, span, matches, wins, {RATIOS_SQL} FROM s WHERE matches >= 3""",
+s AS (SELECT player_id, level_group, span, {SUITE_SQL} FROM w GROUP BY 1, 2, 3) SELECT player_id, level_group, span, matches, wins, {FULL_SQL} FROM s WHERE matches >= 3""",
     "own_latest_window": f"WITH {PM}, x AS (SELECT *, max(match_day) OVER (PARTITION BY player_id) AS newest FROM pm) SELECT player_id, count(*) AS matches, CAST(sum(won_match) AS BIGINT) AS wins FROM x WHERE match_day >= newest - INTERVAL 3 MONTH GROUP BY 1",
     "coverage_by_year": f"WITH {PM} SELECT CAST(year(match_day) AS BIGINT) AS year, count(*) AS n, " + ", ".join(f"round(count({c})/count(*)*100, 4) AS {c}_pct" for c in ("ace", "svpt", "minutes", "bp_saved", "surface")) + " FROM pm GROUP BY 1",
     "h2h_matches": _PAIRS + " SELECT * FROM pairs",

@@ -187,17 +187,6 @@ def daily_picks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def hash_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A repeatable sample of 100 rows: a sampling operator, its size is the feature."""
-    return table(spark, d, "training_matches").orderBy(F.xxhash64("match_id", F.lit(42)), "match_id").limit(100)
-
-
-def stratified_split(spark: SparkSession, d: str) -> DataFrame:
-    """Rows marked train or test by a hash, 80 to 20 in every class."""
-    mark = F.pmod(F.xxhash64("match_id", F.lit(42)), F.lit(100))
-    return table(spark, d, "training_matches").filter("target is not null").select("match_id", "target", F.when(mark < 80, "train").otherwise("test").alias("part"))
-
-
 def temporal_split(spark: SparkSession, d: str) -> DataFrame:
     """Rows and winners per side of the cut."""
     part = F.when(F.col("match_date") < F.lit("2023-01-01").cast("timestamp"), "train").otherwise("test")
@@ -233,7 +222,7 @@ def yearly_orders(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     clean_coerce, null_tokens, tiebreak_regex, name_keys, quoted_name_keys, consolidate_master, dedupe_keep_first, lookup_join, semi_join_coverage, uncovered_pairs,
     date_overlap, date_shift_sweep, exact_date_pair_join, set_intersect, set_except, set_union, fuzzy_names, inner_orientation_join, asof_backward, training_mirror,
-    daily_picks, hash_sample, stratified_split, temporal_split, value_counts, tour_labels, pricing_summary, yearly_orders,
+    daily_picks, temporal_split, value_counts, tour_labels, pricing_summary, yearly_orders,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

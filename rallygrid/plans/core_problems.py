@@ -103,26 +103,27 @@ P6_MATCH = {
 }
 
 
+#: Labels of a node serve the links; the flat tables keep the payload and the position in its list.
 def p6_players(spark: SparkSession, d: str) -> DataFrame:
     nodes = _payload_nodes(spark, d)
     sides = [typed_table(nodes, f"[].player{i}", P6_PLAYER).withColumn("side", F.lit(i)) for i in (1, 2)]
-    return sides[0].unionByName(sides[1])
+    return sides[0].unionByName(sides[1]).drop("pre", "post")
 
 
 def p6_tournaments(spark: SparkSession, d: str) -> DataFrame:
-    return typed_table(_payload_nodes(spark, d), "[].tournament", P6_TOURNAMENT)
+    return typed_table(_payload_nodes(spark, d), "[].tournament", P6_TOURNAMENT).drop("pre", "post")
 
 
 def p6_courts(spark: SparkSession, d: str) -> DataFrame:
-    return typed_table(_payload_nodes(spark, d), "[].tournament.court", P6_COURT)
+    return typed_table(_payload_nodes(spark, d), "[].tournament.court", P6_COURT).drop("pre", "post")
 
 
 def p6_odds(spark: SparkSession, d: str) -> DataFrame:
-    return typed_table(_payload_nodes(spark, d), "[].odds", P6_ODDS)
+    return typed_table(_payload_nodes(spark, d), "[].odds", P6_ODDS).drop("pre", "post")
 
 
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:
-    return typed_table(_payload_nodes(spark, d), "[]", P6_MATCH)
+    return typed_table(_payload_nodes(spark, d), "[]", P6_MATCH).drop("pre", "post")
 
 
 def p7_trailing_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -156,6 +157,31 @@ WITH sides AS (
 )
 """
 
+_P6 = r"""
+WITH raw AS (
+  SELECT payload_id, CASE WHEN json_valid(body) THEN CASE WHEN json_type(body) = 'VARCHAR' THEN json_extract_string(body, '$') ELSE body END END AS b FROM fixtures_atp
+), lists AS (
+  SELECT payload_id, CASE WHEN json_valid(b) THEN CASE json_type(b) WHEN 'ARRAY' THEN CAST(b AS JSON) ELSE coalesce(json_extract(b, '$.data'), json_extract(b, '$.fixtures'), json_extract(b, '$.results')) END END AS l FROM raw
+), united AS (
+  SELECT payload_id, CAST(i AS INTEGER) AS match_pos, json_extract(l, '$[' || (i - 1) || ']') AS m, false AS up
+  FROM lists, LATERAL (SELECT unnest(range(1, CAST(json_array_length(l) AS BIGINT) + 1)) AS i)
+  UNION ALL
+  SELECT payload_id, CAST(generate_subscripts(matches, 1) AS INTEGER), to_json(unnest(matches)), true FROM upcoming_matches
+)
+"""
+
+
+def _p6_sql(fields: dict[str, str], at: str = "", more: str = "") -> str:
+    def value(key: str) -> str:
+        text = f"json_extract_string(m, '$.{at}{key}')"
+        if key == "date":
+            text = f"CASE WHEN up THEN strftime(CAST({text} AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.%g') ELSE {text} END"
+        return f"CASE WHEN json_type(m, '$.{at}{key}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {text} END"
+
+    where = f"json_type(m, '$.{at[:-1]}') = 'OBJECT'" if at else "json_type(m) = 'OBJECT'"
+    return f"SELECT payload_id, match_pos{more}, " + ", ".join(f"{value(k)} AS {n}" for n, k in fields.items()) + f" FROM united WHERE {where}"
+
+
 _SAME = "player_id, opponent_id, tourney_id, round"
 _REST = "surface, player, opponent, tourney_level, tourney_name, won_match, minutes, ace, df, svpt, first_in, first_won, second_won, service_games, opp_svpt, opp_first_in, opp_first_won, opp_second_won, opp_bp_faced, opp_bp_saved, bp_saved, bp_faced, tb_played, tb_won, break_points_generated, breaks_converted"
 _MEASURES = ("ace", "svpt", "won_match")
@@ -203,5 +229,10 @@ WITH raw AS (
   UNION ALL SELECT payload_id, match_pos, 'player1', p1 FROM united UNION ALL SELECT payload_id, match_pos, 'player2', p2 FROM united
 ) SELECT * FROM names WHERE field_value IS NOT NULL
 """,
+    "p6_matches": _P6 + _p6_sql(P6_MATCH),
+    "p6_players": _P6 + _p6_sql(P6_PLAYER, "player1.", ", 1 AS side") + " UNION ALL " + _p6_sql(P6_PLAYER, "player2.", ", 2 AS side"),
+    "p6_tournaments": _P6 + _p6_sql(P6_TOURNAMENT, "tournament."),
+    "p6_courts": _P6 + _p6_sql(P6_COURT, "tournament.court."),
+    "p6_odds": _P6 + _p6_sql(P6_ODDS, "odds."),
     "p7_trailing_totals": _P7,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallygrid.ml import ablation, boosted_trees, calibrated, logistic, permutation_importance, score, walk_forward
+from rallygrid.functions.formulas import k_factor
 from rallygrid.operators.joins import backward_asof
 from rallygrid.operators.trailing_totals import once_per_match
 from rallygrid.plans.base import bets, matches
@@ -174,7 +175,8 @@ def _feed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return _run(distinct_deliveries(_feed(spark, d), ["tourney_id", "match_num"], "loaded_at").select("tourney_id", "match_num", "winner_id", "loser_id"), "append")
+    """Keys of the matches delivered; which delivery of a key comes first is open, so only keys."""
+    return _run(distinct_deliveries(_feed(spark, d), ["tourney_id", "match_num"], "loaded_at").select("tourney_id", "match_num"), "append")
 
 
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +185,9 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_ratings(spark: SparkSession, d: str) -> DataFrame:
-    rows = _feed(spark, d).filter("surface is not null and winner_id is not null and loser_id is not null").select("row_id", "surface", "winner_id", "loser_id", F.col("loaded_at").alias("at"), F.lit(24.0).alias("k"))
+    """Surface ratings as matches arrive, with K by level and idle days and decay."""
+    rows = _feed(spark, d).filter("surface is not null and winner_id is not null and loser_id is not null")
+    rows = rows.select("row_id", "tourney_id", "match_num", "surface", "winner_id", "loser_id", F.col("loaded_at").alias("at"), k_factor(F.col("tourney_level"), F.lit(0)).alias("k"))
     return _run(streaming_ratings(rows), "append")
 
 
@@ -191,4 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (logistic_scores, gbt_scores, calibrated_scores, walk_forward_metrics, ablation_metrics, feature_importance, stream_distinct, stream_counts, stream_ratings)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "stream_distinct": "SELECT DISTINCT tourney_id, match_num FROM ongoing_tourneys",
+    "stream_counts": "SELECT time_bucket(INTERVAL 7 DAY, loaded_at, TIMESTAMP '1970-01-01') AS start, surface, count(*) AS n FROM ongoing_tourneys WHERE loaded_at IS NOT NULL GROUP BY 1, 2",
+}

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rallygrid.functions.formulas import TAU_OVERALL, TAU_SURFACE, k_factor, three_way
+from rallygrid.functions.formulas import BASE_RATING, TAU_OVERALL, TAU_SURFACE, k_factor, three_way
 from rallygrid.functions.metrics import FULL_SQL, PLAUSIBLE_SQL, RATIOS_SQL, SUITE_SQL, full_suite, plausible, ratios, suite
 from rallygrid.operators.elo import elo_fold
 from rallygrid.operators.longform import winner_loser_rows
 from rallygrid.operators.windows import before_date_last_n, days_since_last, last_n, rows_before
 from rallygrid.plans.base import MATCHES, PM, matches, player_matches
-from rallygrid.session import table
+from rallygrid.session import cut_lineage, table
 
 
 
@@ -239,27 +239,61 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("i", inside).join(base, "match_day").withColumn("seq", (F.col("base") + F.col("i")).cast("long"))
 
 
+def _overall(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return elo_fold(s.select(F.lit("all").alias("scope"), "seq", F.col("winner_id").alias("w"), F.col("loser_id").alias("l"), "wd", "ld", "k"), TAU_OVERALL)
+
+
+def _by_surface(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    days = (F.col("wsd").alias("wd"), F.col("lsd").alias("ld"))
+    return elo_fold(s.filter("surface is not null").select(F.col("surface").alias("scope"), "seq", F.col("winner_id").alias("w"), F.col("loser_id").alias("l"), *days, "k"), TAU_SURFACE)
+
+
 def elo_overall(spark: SparkSession, d: str) -> DataFrame:
     """Overall ratings before each match."""
-    s = _ordered(spark, d)
-    games, _ = elo_fold(s.select(F.lit("all").alias("scope"), "seq", F.col("winner_id").alias("w"), F.col("loser_id").alias("l"), "wd", "ld", "k"), TAU_OVERALL)
+    s = cut_lineage(_ordered(spark, d))
+    games, _ = _overall(s)
     return s.select("row_id", "seq").join(games, "seq").select("row_id", F.round("w_before", 6).alias("winner_elo"), F.round("l_before", 6).alias("loser_elo"))
 
 
 def elo_surface(spark: SparkSession, d: str) -> DataFrame:
     """Ratings per surface before each match; an unknown surface has no state."""
-    s = _ordered(spark, d).filter("surface is not null")
-    games, _ = elo_fold(s.select(F.col("surface").alias("scope"), "seq", F.col("winner_id").alias("w"), F.col("loser_id").alias("l"), F.col("wsd").alias("wd"), F.col("lsd").alias("ld"), "k"), TAU_SURFACE)
+    s = cut_lineage(_ordered(spark, d))
+    games, _ = _by_surface(s)
     return s.select("row_id", "seq").join(games, "seq").select("row_id", F.round("w_before", 6).alias("winner_elo"), F.round("l_before", 6).alias("loser_elo"))
 
 
 def elo_final(spark: SparkSession, d: str) -> DataFrame:
     """Ratings after the last match."""
-    s = _ordered(spark, d)
-    _, final = elo_fold(s.select(F.lit("all").alias("scope"), "seq", F.col("winner_id").alias("w"), F.col("loser_id").alias("l"), "wd", "ld", "k"), TAU_OVERALL)
+    _, final = _overall(cut_lineage(_ordered(spark, d)))
     return final.select(F.col("item").alias("player_id"), F.round("rating", 6).alias("elo"))
 
 
+def rating_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The state of both players before each match: ratings with and without decay, idle days and
+    matches played, overall and on the surface; on an unknown surface the base rating."""
+    rows = _long(spark, d)
+    on_surface = ["player_id", "surface"]
+    counts = rows.select("row_id", "won", rows_before(["player_id"], _LATEST).alias("played"), F.when(F.col("surface").isNotNull(), rows_before(on_surface, _LATEST)).otherwise(0).alias("splayed"))
+    side = lambda won, c: F.max(F.when(F.col("won") == won, F.col(c)))
+    counts = counts.groupBy("row_id").agg(side(1, "played").alias("wn"), side(0, "played").alias("ln"), side(1, "splayed").alias("wsn"), side(0, "splayed").alias("lsn"))
+    s = cut_lineage(_ordered(spark, d))
+    o, f = _overall(s)[0], _by_surface(s)[0]
+    o = o.select("seq", *[F.col(c).alias(f"o_{c}") for c in ("w_before", "l_before", "w_stored", "l_stored")])
+    f = f.select("seq", *[F.col(c).alias(f"f_{c}") for c in ("w_before", "l_before", "w_stored", "l_stored")])
+    out = s.join(counts, "row_id").join(o, "seq").join(f, "seq", "left")
+    known = F.col("surface").isNotNull()
+    based = lambda c: F.coalesce(F.round(c, 6), F.lit(BASE_RATING))
+    each = []
+    for who, w in (("winner", "w"), ("loser", "l")):
+        each += [
+            F.round(f"o_{w}_before", 6).alias(f"{who}_elo_before"), F.round(f"o_{w}_stored", 6).alias(f"{who}_stored_elo"),
+            based(f"f_{w}_before").alias(f"{who}_surface_elo_before"), based(f"f_{w}_stored").alias(f"{who}_surface_stored_elo"),
+            (F.col(f"{w}d") == -1).cast("int").alias(f"{who}_is_new_player"), F.col(f"{w}d").alias(f"{who}_days_inactive"),
+            F.when(known, F.col(f"{w}sd")).otherwise(-1).alias(f"{who}_surface_days_inactive"), F.col(f"{w}n").alias(f"{who}_matches_played"), F.col(f"{w}sn").alias(f"{who}_surface_matches_played"),
+        ]
+    return out.select("row_id", F.col("match_day").alias("match_date"), "surface", F.col("k").alias("k_factor"), "winner_id", "loser_id", *each)
+
+
 def _ratings_long(spark: SparkSession, d: str) -> DataFrame:
     side = lambda w: F.struct(
         F.col(f"{w}_id").alias("player_id"), F.col(f"{w}_elo_before").alias("elo"), F.col(f"{w}_surface_elo_before").alias("surface_elo"), F.col(f"{w}_matches_played").alias("played")
@@ -305,7 +339,7 @@ QUERIES = {
     for f in (
         form_last10, form_top, rolling_metrics, signal_labels, prediction_score, surface_metrics, player_metrics_windows, own_latest_window,
         coverage_by_year, h2h_matches, h2h_overall, h2h_surface, h2h_rollup, h2h_oriented, long_form, inactivity_days, experience_count, k_factors,
-        elo_overall, elo_surface, elo_final, player_lookup, edge_table,
+        elo_overall, elo_surface, elo_final, rating_snapshot, player_lookup, edge_table,
     )
 }
 QUERIES |= {f"pit_last_{n}": _pit(n) for n in _SIZES}
@@ -363,25 +397,42 @@ SELECT match_id, metric, diff, abs(diff) AS abs_edge, CASE WHEN diff > 0 THEN 'A
 ORACLES |= {f"pit_last_{n}": _with_null_sums(_pit_sql(n)) for n in _SIZES}
 
 
-def _elo_sql(scope: str, tau: float, wd: str, ld: str) -> str:
-    """The fold as a recursive query with the ratings in a list."""
-    return _LONG + f""", day AS (SELECT *, CAST(coalesce(date_diff('day', lag(match_day) OVER (PARTITION BY player_id ORDER BY {_ORD}), match_day), -1) AS INTEGER) AS days,
- CAST(coalesce(date_diff('day', lag(match_day) OVER (PARTITION BY player_id, surface ORDER BY {_ORD}), match_day), -1) AS INTEGER) AS sdays FROM lf),
-g AS (SELECT row_id, match_day, surface, tourney_level, tourney_id, match_num, winner_id, loser_id, max(CASE WHEN won = 1 THEN days END) AS wd, max(CASE WHEN won = 0 THEN days END) AS ld,
- max(CASE WHEN won = 1 THEN sdays END) AS wsd, max(CASE WHEN won = 0 THEN sdays END) AS lsd FROM day GROUP BY ALL),
-ids AS (SELECT scope, id, row_number() OVER (ORDER BY scope, id) AS i FROM (SELECT DISTINCT {scope} AS scope, unnest([winner_id, loser_id]) AS id FROM g WHERE {scope} IS NOT NULL)),
-o AS (SELECT row_number() OVER (ORDER BY {_ORD}) AS n, row_id, w.i AS w, l.i AS l, {wd} AS wd, {ld} AS ld,
- (CASE tourney_level WHEN 'G' THEN 40.0 WHEN 'M' THEN 32.0 WHEN '500' THEN 28.0 ELSE 24.0 END * CASE WHEN greatest(g.wd, g.ld) > 180 THEN 2.0 WHEN greatest(g.wd, g.ld) > 70 THEN 1.5 ELSE 1.0 END)::DOUBLE AS k
- FROM g JOIN ids w ON w.scope = {scope} AND w.id = winner_id JOIN ids l ON l.scope = {scope} AND l.id = loser_id),
-f(n, row_id, we, le, st) AS (
-  SELECT 0::BIGINT, -1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, (SELECT list_transform(range(count(*)), lambda i: 1500.0::DOUBLE) FROM ids)
+def _elo_sql(scope: str, tau: float, wd: str, ld: str, name: str = "") -> str:
+    """Tables of the fold as a recursive query with the ratings in a list; ``name`` tells two folds apart."""
+    return f"""ids{name} AS (SELECT scope, id, row_number() OVER (ORDER BY scope, id) AS i FROM (SELECT DISTINCT {scope} AS scope, unnest([winner_id, loser_id]) AS id FROM g WHERE {scope} IS NOT NULL)),
+o{name} AS (SELECT row_number() OVER (ORDER BY {_ORD}) AS n, row_id, w.i AS w, l.i AS l, {wd} AS wd, {ld} AS ld, k
+ FROM g JOIN ids{name} w ON w.scope = {scope} AND w.id = winner_id JOIN ids{name} l ON l.scope = {scope} AND l.id = loser_id),
+f{name}(n, row_id, we, le, ws, ls, st) AS (
+  SELECT 0::BIGINT, -1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, (SELECT list_transform(range(count(*)), lambda i: 1500.0::DOUBLE) FROM ids{name})
   UNION ALL
-  SELECT n, row_id, we, le, list_transform(st, lambda v, i: CASE WHEN i = w THEN v + k*(1-e) WHEN i = l THEN v - k*(1-e) ELSE v END)
-  FROM (SELECT *, 1/(1+pow(10.0, (le-we)/400.0)) AS e FROM (SELECT o.n, o.row_id, o.w, o.l, o.k, f.st,
+  SELECT n, row_id, we, le, ws, ls, list_transform(st, lambda v, i: CASE WHEN i = w THEN v + k*(1-e) WHEN i = l THEN v - k*(1-e) ELSE v END)
+  FROM (SELECT *, 1/(1+pow(10.0, (le-we)/400.0)) AS e FROM (SELECT o.n, o.row_id, o.w, o.l, o.k, f.st, f.st[w] AS ws, f.st[l] AS ls,
     CASE WHEN wd <= 0 THEN f.st[w] ELSE 1500+(f.st[w]-1500)*exp(-wd/{tau}) END AS we, CASE WHEN ld <= 0 THEN f.st[l] ELSE 1500+(f.st[l]-1500)*exp(-ld/{tau}) END AS le
-    FROM f JOIN o ON o.n = f.n + 1)))
-SELECT row_id, round(we, 6) AS winner_elo, round(le, 6) AS loser_elo FROM f WHERE n > 0"""
-
-
-ORACLES["elo_overall"] = _elo_sql("'all'", TAU_OVERALL, "g.wd", "g.ld").replace("WITH m AS", "WITH RECURSIVE m AS", 1)
-ORACLES["elo_surface"] = _elo_sql("surface", TAU_SURFACE, "wsd", "lsd").replace("WITH m AS", "WITH RECURSIVE m AS", 1)
+    FROM f{name} f JOIN o{name} o ON o.n = f.n + 1)))"""
+
+
+_SCHEDULE = _LONG.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + f""", day AS (SELECT *, CAST(coalesce(date_diff('day', lag(match_day) OVER (PARTITION BY player_id ORDER BY {_ORD}), match_day), -1) AS INTEGER) AS days,
+ CAST(coalesce(date_diff('day', lag(match_day) OVER (PARTITION BY player_id, surface ORDER BY {_ORD}), match_day), -1) AS INTEGER) AS sdays,
+ row_number() OVER (PARTITION BY player_id ORDER BY {_ORD}) - 1 AS played, row_number() OVER (PARTITION BY player_id, surface ORDER BY {_ORD}) - 1 AS splayed FROM lf),
+g0 AS (SELECT row_id, match_day, surface, tourney_level, tourney_id, match_num, winner_id, loser_id, max(CASE WHEN won = 1 THEN days END) AS wd, max(CASE WHEN won = 0 THEN days END) AS ld,
+ max(CASE WHEN won = 1 THEN sdays END) AS wsd, max(CASE WHEN won = 0 THEN sdays END) AS lsd, max(CASE WHEN won = 1 THEN played END) AS wn, max(CASE WHEN won = 0 THEN played END) AS ln,
+ max(CASE WHEN won = 1 THEN splayed END) AS wsn, max(CASE WHEN won = 0 THEN splayed END) AS lsn FROM day GROUP BY ALL),
+g AS (SELECT *, (CASE tourney_level WHEN 'G' THEN 40.0 WHEN 'M' THEN 32.0 WHEN '500' THEN 28.0 ELSE 24.0 END * CASE WHEN greatest(wd, ld) > 180 THEN 2.0 WHEN greatest(wd, ld) > 70 THEN 1.5 ELSE 1.0 END)::DOUBLE AS k FROM g0),
+"""
+_OVERALL = _elo_sql("'all'", TAU_OVERALL, "g.wd", "g.ld")
+_BEFORE = " SELECT row_id, round(we, 6) AS winner_elo, round(le, 6) AS loser_elo FROM f WHERE n > 0"
+ORACLES["elo_overall"] = _SCHEDULE + _OVERALL + _BEFORE
+ORACLES["elo_surface"] = _SCHEDULE + _elo_sql("surface", TAU_SURFACE, "wsd", "lsd") + _BEFORE
+ORACLES["elo_final"] = _SCHEDULE + _OVERALL + " SELECT id AS player_id, round(st[i], 6) AS elo FROM ids, (SELECT st FROM f ORDER BY n DESC LIMIT 1)"
+
+
+def _side_sql(who: str, w: str) -> str:
+    return f"""round(a.{w}e, 6) AS {who}_elo_before, round(a.{w}s, 6) AS {who}_stored_elo, coalesce(round(b.{w}e, 6), 1500.0) AS {who}_surface_elo_before,
+ coalesce(round(b.{w}s, 6), 1500.0) AS {who}_surface_stored_elo, CAST(g.{w}d = -1 AS INTEGER) AS {who}_is_new_player, g.{w}d AS {who}_days_inactive,
+ CASE WHEN surface IS NULL THEN -1 ELSE {w}sd END AS {who}_surface_days_inactive, {w}n AS {who}_matches_played, CASE WHEN surface IS NULL THEN 0 ELSE {w}sn END AS {who}_surface_matches_played"""
+
+
+ORACLES["rating_snapshot"] = (
+    _SCHEDULE + _OVERALL + ", " + _elo_sql("surface", TAU_SURFACE, "wsd", "lsd", "2")
+    + f" SELECT g.row_id, match_day AS match_date, surface, k AS k_factor, winner_id, loser_id, {_side_sql('winner', 'w')}, {_side_sql('loser', 'l')} FROM g JOIN f a ON a.row_id = g.row_id LEFT JOIN f2 b ON b.row_id = g.row_id"
+)

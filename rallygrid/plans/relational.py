@@ -234,6 +234,8 @@ _W = "string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' ')"
 _LI = "lower(" + _W + "[-1]) || '{1}' || lower(left({0}, 1))"
 _CANON = "trim(regexp_replace(translate(lower(coalesce({0}, '')), '-.''', '   '), '\\s+', ' ', 'g'))"
 
+_ACCENTED, _CAPITALS = "áàâäéèêëíîïóôöúûüñçšžčåøý", "ABCDEFGHIJKLMNOPQRSTUVWXY"
+
 ORACLES = {
     "clean_coerce": f"""SELECT row_id, {_DIG} AS digits_day, CAST(try_strptime(CAST(CAST(trunc(CASE WHEN isnan(try_cast(tourney_date AS DOUBLE)) OR try_cast(tourney_date AS DOUBLE) IS NULL THEN 0 ELSE try_cast(tourney_date AS DOUBLE) END) AS BIGINT) AS VARCHAR), '%Y%m%d') AS DATE) AS float_day,
  CAST(strftime({_DIG}, '%Y%m%d') AS INTEGER) AS day_int, try_cast(winner_seed AS DOUBLE) AS seed, coalesce(winner_entry, '') AS entry_blank, {_NULLED.format('tourney_date')} AS date_text FROM ongoing_tourneys""",
@@ -257,6 +259,13 @@ SELECT match_id, odds_id, odds_a, odds_b, round((1/odds_a)/(1/odds_a + 1/odds_b)
     "set_intersect": "SELECT winner_id AS id FROM ongoing_tourneys INTERSECT SELECT loser_id FROM ongoing_tourneys",
     "set_except": "SELECT loser_id AS id FROM ongoing_tourneys EXCEPT SELECT winner_id FROM ongoing_tourneys",
     "set_union": "SELECT winner_id AS id FROM ongoing_tourneys UNION SELECT loser_id FROM ongoing_tourneys",
+    # The engine's distance counts bytes: accented letters, which lower-case names don't share with
+    # capitals, stand as capitals while distances are taken.
+    "fuzzy_names": f"""WITH l AS (SELECT DISTINCT name FROM (SELECT {_CANON.format('x')} AS name FROM (SELECT unnest(["Winner", "Loser"]) AS x FROM bookmaker_listings)) WHERE name <> ''),
+r AS (SELECT DISTINCT name FROM (SELECT {_CANON.format('x')} AS name FROM (SELECT unnest(["Winner", "Loser"]) AS x FROM atp_odds)) WHERE name <> ''),
+p AS (SELECT l.name, r.name AS candidate, 1 - levenshtein(translate(l.name, '{_ACCENTED}', '{_CAPITALS}'), translate(r.name, '{_ACCENTED}', '{_CAPITALS}')) / greatest(length(l.name), length(r.name)) AS ratio
+ FROM l JOIN r ON abs(length(l.name) - length(r.name)) <= 0.25 * greatest(length(l.name), length(r.name)))
+SELECT name, candidate, round(ratio, 6) AS ratio, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ratio DESC, candidate) AS place FROM p WHERE ratio >= 0.75) WHERE place <= 3""",
     "inner_orientation_join": """WITH e AS (SELECT history_id, match_date, winner_id AS a, loser_id AS b, winner_elo_before AS elo_a, loser_elo_before AS elo_b FROM player_elo_history UNION ALL SELECT history_id, match_date, loser_id, winner_id, loser_elo_before, winner_elo_before FROM player_elo_history)
 SELECT match_id, history_id, elo_a, elo_b, round(elo_a - elo_b, 6) AS delta_elo FROM training_matches t JOIN e ON e.a = t.player_a_id AND e.b = t.player_b_id AND e.match_date = CAST(t.match_date AS DATE)""",
     "asof_backward": """WITH s AS (SELECT history_id, match_date AS state_day, winner_id AS p, winner_elo_before AS elo FROM player_elo_history UNION ALL SELECT history_id, match_date, loser_id, loser_elo_before FROM player_elo_history),

@@ -70,15 +70,18 @@ class StepTables:
 
     def __init__(self, spark: SparkSession, keep: int = 2) -> None:
         ensure_checkpoint_dir(spark)
-        self.spark, self.keep, self.paths = spark, keep, []
+        self.spark, self.keep, self.paths, self.count = spark, keep, [], 0
         self.base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/steps-{uuid.uuid4().hex}"
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{len(self.paths)}"
-        df.write.parquet(path)
-        self.paths.append(path)
-        if len(self.paths) > self.keep:
-            self._drop(self.paths[-1 - self.keep])
+    def cut(self, df: DataFrame, partition_by: str | None = None, keep: bool = False) -> DataFrame:
+        """Write ``df`` and read it again; with ``keep`` the table stays until ``close``."""
+        path = f"{self.base}/{self.count}"
+        self.count += 1
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+        if not keep:
+            self.paths.append(path)
+            if len(self.paths) > self.keep:
+                self._drop(self.paths[-1 - self.keep])
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:

@@ -2,32 +2,44 @@
 
 ``P(i beats j) = Phi(s_i - s_j)``, ``s ~ N(0, 1/ridge)``. Comparisons are first counted per pair
 of items and scope, so repeated ones cost nothing further on. Iteratively reweighted least
-squares gives in every round a sparse system ``A s = b`` - ``ridge`` plus a weighted graph
-Laplacian - which conjugate gradients with a diagonal preconditioner solve. All vectors are
-columns of a distributed table keyed by (scope, item); one step is one join of the edges with
-the search direction and one aggregation, and only the step's scalars reach the driver. The
-scopes (say, surfaces) are blocks of one system and are solved together, each with steps of its
-own. Standard errors are the root of the diagonal of the inverse of ``A`` at the solution,
-estimated from solves with random signs as right-hand sides (about 10 % of noise with the
-default number), all in the same steps, and held within the bounds that the diagonal and the prior set.
+squares gives in every round a sparse system ``A d = g`` - ``ridge`` plus a weighted graph
+Laplacian, and the gradient - which conjugate gradients solve. All vectors are columns of a
+distributed table keyed by (scope, item); a product with ``A`` is one join of the edges with the
+vector and one aggregation, and only a step's scalars reach the driver. The scopes (say,
+surfaces) are blocks of one system and are solved together, each with steps of its own.
+
+The preconditioner is made of diagonal blocks: the items of a scope fall, by hash, into blocks of
+about ``block`` items, and each task solves the system of its block's own edges. The same blocks
+give the start (each fitted alone) and the larger part of the standard errors. A scope of one
+block is thereby solved by the start, up to the check of the gradient over all edges, which
+always decides; with more blocks the rounds and steps do the rest.
+
+Standard errors are roots of the diagonal of ``A^-1``: that of the blocks' inverse exactly, plus the
+diagonal of the difference to ``A^-1``, estimated from solves with random signs on the right-hand side.
+With one block the difference is nothing and the errors are exact; with more, they carry noise.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallygrid.session import StepTables, cut_lineage
 
 RIDGE = 1.0
 PROBES = 16
-#: Largest step of a strength at which the reweighting stops; as a round leaves under a tenth
-#: of the last step, strengths are then right to about 2e-4, far below their standard errors.
-TOLERANCE = 2e-3
-MAX_ROUNDS = 30
-MAX_STEPS = 200
+#: Items of a block: its dense matrix takes 8 bytes times the square of this, three times over.
+BLOCK = 2_560
+#: Largest gradient, over the diagonal of ``A``, at which the reweighting stops.
+TOLERANCE = 1e-6
+#: More rounds or steps than these raise an error; they never end a run in silence.
+MAX_ROUNDS = 60
+MAX_STEPS = 500
 
 #: Chebyshev coefficients of the complementary error function (relative error under 1.2e-7).
 _ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -43,6 +55,14 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
+def _cdf(x: np.ndarray) -> np.ndarray:
+    """The same in arrays."""
+    z = np.abs(x) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * z)
+    tail = 0.5 * t * np.exp(-z * z + np.polyval(_ERFC[::-1], t))
+    return np.where(x >= 0, 1 - tail, tail)
+
+
 def count_pairs(comparisons: DataFrame) -> DataFrame:
     """Both directions of every compared pair: ``scope, src, dst, n, y`` (share won by src)."""
     clean = comparisons.filter("scope is not null and winner is not null and loser is not null and winner <> loser")
@@ -62,155 +82,243 @@ def count_pairs(comparisons: DataFrame) -> DataFrame:
 
 
 def _weigh(edges: DataFrame, strengths: DataFrame) -> DataFrame:
-    """Edges with the weight ``w`` and the working response ``w * z`` at the given strengths."""
+    """Edges with the weight ``w`` and the pull ``u`` on ``src`` at the given strengths."""
     at = strengths.select("scope", "item", "s")
-    eta = F.least(F.lit(8.0), F.greatest(F.lit(-8.0), F.col("s_src") - F.col("s_dst")))
-    p = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), normal_cdf(F.col("eta"))))
-    phi = F.exp(-0.5 * F.col("eta") * F.col("eta")) / F.lit(math.sqrt(2 * math.pi))
+    p, phi = F.col("p"), F.col("phi")
     return (
         edges.join(at.withColumnsRenamed({"item": "src", "s": "s_src"}), ["scope", "src"])
         .join(at.withColumnsRenamed({"item": "dst", "s": "s_dst"}), ["scope", "dst"])
-        .withColumn("eta", eta)
-        .withColumn("p", p)
-        .withColumn("phi", phi)
-        .withColumn("w", F.col("n") * F.col("phi") * F.col("phi") / (F.col("p") * (1 - F.col("p"))))
-        .withColumn("wz", F.col("w") * F.col("eta") + F.col("n") * F.col("phi") * (F.col("y") - F.col("p")) / (F.col("p") * (1 - F.col("p"))))
-        .select("scope", "src", "dst", "w", "wz")
+        .withColumn("eta", F.least(F.lit(8.0), F.greatest(F.lit(-8.0), F.col("s_src") - F.col("s_dst"))))
+        .withColumn("p", F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), normal_cdf(F.col("eta")))))
+        .withColumn("phi", F.exp(-0.5 * F.col("eta") * F.col("eta")) / F.lit(math.sqrt(2 * math.pi)))
+        .select(
+            "scope", "src", "dst", "src_block", "dst_block",
+            (F.col("n") * phi * phi / (p * (1 - p))).alias("w"), (F.col("n") * phi * (F.col("y") - p) / (p * (1 - p))).alias("u"),
+        )
     )
 
 
-def _solve(weights: DataFrame, start: DataFrame, k: int, forcing: float, ridge: float, steps: StepTables) -> DataFrame:
-    """Conjugate gradients for ``k`` right-hand sides at once.
+class _Block:
+    """The system of one block: its items and the edges inside it."""
+
+    def __init__(self, edges: pd.DataFrame, items: pd.Series) -> None:
+        index = pd.Index(items)
+        self.size = len(index)
+        self.src, self.dst = index.get_indexer(edges["src"]), index.get_indexer(edges["dst"])
+
+    def total(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.src, values, self.size)
+
+    def solve(self, w: np.ndarray, diag: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Conjugate gradients to full accuracy for the columns of ``b``."""
+        times = lambda v: diag * v - self.total(w * v[self.dst])
+        out = np.empty_like(b)
+        for j in range(b.shape[1]):
+            x, r = b[:, j] / diag, None
+            r = b[:, j] - times(x)
+            z = r / diag
+            p, rz = z, float(r @ z)
+            goal = max(float(b[:, j] @ (b[:, j] / diag)) * 1e-26, 1e-300)
+            for _ in range(20 * self.size + 100):
+                if rz <= goal:
+                    break
+                ap = times(p)
+                a = rz / float(p @ ap)
+                x, r = x + a * p, r - a * ap
+                z = r / diag
+                after = float(r @ z)
+                p, rz = z + after / rz * p, after
+            out[:, j] = x
+        return out
+
+
+def _fit_block(ridge: float) -> Callable:
+    def run(edges: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        block, s = _Block(edges, items["item"]), np.zeros(len(items))
+        n, y = edges["n"].to_numpy(), edges["y"].to_numpy()
+        for _ in range(MAX_ROUNDS if len(edges) else 0):
+            eta = np.clip(s[block.src] - s[block.dst], -8, 8)
+            p = np.clip(_cdf(eta), 1e-12, 1 - 1e-12)
+            phi = np.exp(-0.5 * eta * eta) / math.sqrt(2 * math.pi)
+            w = n * phi * phi / (p * (1 - p))
+            diag = block.total(w) + ridge
+            g = block.total(n * phi * (y - p) / (p * (1 - p))) - ridge * s
+            if np.abs(g / diag).max() < 0.01 * TOLERANCE:
+                break
+            s = s + block.solve(w, diag, g[:, None])[:, 0]
+        return pd.DataFrame({"scope": items["scope"], "item": items["item"], "block": items["block"], "s": s})
+
+    return run
+
+
+def _solve_block(ridge: float, inputs: Sequence[str], outputs: Sequence[str]) -> Callable:
+    def run(edges: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(edges, rows["item"])
+        diag = rows["deg"].to_numpy() + ridge
+        x = block.solve(edges["w"].to_numpy(), diag, rows[list(inputs)].to_numpy())
+        return pd.concat([rows.reset_index(drop=True), pd.DataFrame(x, columns=list(outputs))], axis=1)
+
+    return run
+
+
+def _invert_block(ridge: float) -> Callable:
+    def run(edges: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(edges, rows["item"])
+        a = np.diag(rows["deg"].to_numpy() + ridge)
+        np.subtract.at(a, (block.src, block.dst), edges["w"].to_numpy())
+        inverse = np.linalg.inv(a)
+        return pd.DataFrame({"scope": rows["scope"], "item": rows["item"], "own": np.diag(inverse), "row_sum": inverse.sum(axis=1)})
+
+    return run
+
+
+def _in_blocks(edges: DataFrame, rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Rows of each block together with the edges inside the block."""
+    inner = edges.filter("src_block = dst_block").withColumn("block", F.col("src_block"))
+    return inner.groupBy("scope", "block").cogroup(rows.groupBy("scope", "block")).applyInPandas(run, schema)
 
-    ``start``: ``scope, item, deg`` (weight sum), ``x0..`` and ``b0..``. Adds the solution in
-    ``x0..``. A scope and side stop moving when their residual is down by ``forcing``."""
-    span = range(k)
-    names = lambda p: [f"{p}{j}" for j in span]
-    diag = F.col("deg") + F.lit(ridge)
 
-    def times_a(state: DataFrame, vector: str) -> DataFrame:
+class _Solver:
+    """Preconditioned conjugate gradients for ``k`` right-hand sides of every scope at once."""
+
+    def __init__(self, spark: SparkSession, weights: DataFrame, ridge: float, k: int, steps: StepTables) -> None:
+        self.spark, self.weights, self.ridge, self.k, self.steps = spark, weights, ridge, k, steps
+
+    def names(self, letter: str) -> list[str]:
+        return [f"{letter}{j}" for j in range(self.k)]
+
+    def times_a(self, state: DataFrame, letter: str) -> DataFrame:
         """``state`` with ``ap0.. = A vector``."""
-        moved = (
-            weights.join(state.select("scope", F.col("item").alias("dst"), *names(vector)), ["scope", "dst"])
-            .groupBy("scope", F.col("src").alias("item"))
-            .agg(*[F.sum(F.col("w") * F.col(f"{vector}{j}")).alias(f"m{j}") for j in span])
+        vector = state.select("scope", F.col("item").alias("dst"), *self.names(letter))
+        moved = self.weights.join(vector, ["scope", "dst"]).groupBy("scope", F.col("src").alias("item")).agg(
+            *[F.sum(F.col("w") * F.col(f"{letter}{j}")).alias(f"m{j}") for j in range(self.k)]
         )
-        out = state.join(moved, ["scope", "item"], "left")
-        for j in span:
-            out = out.withColumn(f"ap{j}", diag * F.col(f"{vector}{j}") - F.coalesce(f"m{j}", F.lit(0.0)))
-        return out.drop(*names("m"))
-
-    state = times_a(start, "x")
-    for j in span:
-        state = state.withColumn(f"r{j}", F.col(f"b{j}") - F.col(f"ap{j}")).withColumn(f"p{j}", F.col(f"r{j}") / diag)
-    state = steps.cut(state.select("scope", "item", "deg", *names("x"), *names("r"), *names("p")))
-    first: dict[tuple[str, int], float] = {}
-    live: set[tuple[str, int]] = set()
-    for step in range(MAX_STEPS):
-        state = steps.cut(times_a(state, "p"))
-        sums = state.groupBy("scope").agg(
-            *[F.sum(F.col(f"r{j}") * F.col(f"r{j}") / diag).alias(f"rr{j}") for j in span],
-            *[F.sum(F.col(f"r{j}") * F.col(f"ap{j}") / diag).alias(f"ra{j}") for j in span],
-            *[F.sum(F.col(f"ap{j}") * F.col(f"ap{j}") / diag).alias(f"aa{j}") for j in span],
-            *[F.sum(F.col(f"p{j}") * F.col(f"ap{j}")).alias(f"pa{j}") for j in span],
-        ).collect()
-        alpha: dict[int, dict[str, float]] = {j: {} for j in span}
-        beta: dict[int, dict[str, float]] = {j: {} for j in span}
-        live.clear()
-        for row in sums:
-            for j in span:
-                key = (row["scope"], j)
-                rz = row[f"rr{j}"]
-                first.setdefault(key, rz)
-                if rz <= first[key] * forcing**2 or rz < 1e-20 or row[f"pa{j}"] <= 0:
-                    continue
-                a = rz / row[f"pa{j}"]
-                after = max(rz - 2 * a * row[f"ra{j}"] + a * a * row[f"aa{j}"], 0.0)
-                alpha[j][row["scope"]], beta[j][row["scope"]] = a, after / rz
-                live.add(key)
-        if not live:
-            break
+        diag = F.col("deg") + F.lit(self.ridge)
+        own = [(diag * F.col(f"{letter}{j}") - F.coalesce(f"m{j}", F.lit(0.0))).alias(f"ap{j}") for j in range(self.k)]
+        return state.join(moved, ["scope", "item"], "left").select(*state.columns, *own)
+
+    def preconditioned(self, state: DataFrame) -> DataFrame:
+        """``state`` with ``z0.. = B^-1 r``, B being the blocks."""
+        rows = state.select(*state.columns)
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"{z} double" for z in self.names("z")])
+        return _in_blocks(self.weights, rows, _solve_block(self.ridge, self.names("r"), self.names("z")), schema)
+
+    def dots(self, state: DataFrame, a: str, b: str) -> dict[tuple[str, int], float]:
+        sums = state.groupBy("scope").agg(*[F.sum(F.col(f"{a}{j}") * F.col(f"{b}{j}")).alias(f"d{j}") for j in range(self.k)]).collect()  # a row per scope
+        return {(r["scope"], j): r[f"d{j}"] for r in sums for j in range(self.k)}
+
+    def with_scalars(self, state: DataFrame, values: dict[tuple[str, int], float]) -> DataFrame:
+        """Scalars as columns ``c0..`` and not as literals, so that all steps share their compiled code."""
+        scopes = sorted({s for s, _ in values})
+        rows = [(s, *[float(values[s, j]) for j in range(self.k)]) for s in scopes]
+        table = self.spark.createDataFrame(rows, "scope string, " + ", ".join(f"c{j} double" for j in range(self.k)))
+        return state.join(F.broadcast(table), "scope")  # a row per scope
+
+    def solve(self, start: DataFrame, forcing: float) -> DataFrame:
+        """Adds the solution in ``x0..``; ``start``: ``scope, item, block, deg``, ``x0..``, ``b0..``."""
+        span, keep = range(self.k), ["scope", "item", "block", "deg"]
+        state = self.times_a(start, "x")
+        r = [(F.col(f"b{j}") - F.col(f"ap{j}")).alias(f"r{j}") for j in span]
+        size = F.col("deg") + F.lit(self.ridge)
+        state = self.steps.cut(state.select(*keep, *self.names("x"), *r, *[(F.col(f"b{j}") / size).alias(f"q{j}") for j in span], *self.names("b")))
+        whole = self.dots(state, "b", "q")
+        left = self.dots(state.select("scope", *self.names("r"), *[(F.col(f"r{j}") / size).alias(f"q{j}") for j in span]), "r", "q")
+        state = state.select(*keep, *self.names("x"), *self.names("r"))
+        done = lambda left: all(v <= max(whole[k] * forcing**2, 1e-24) for k, v in left.items())
+        if done(left):
+            return state
+        state = self.steps.cut(self.preconditioned(state))
+        rz = self.dots(state, "r", "z")
+        state = state.select(*keep, *self.names("x"), *self.names("r"), *[F.col(f"z{j}").alias(f"p{j}") for j in span])
+        for _ in range(MAX_STEPS):
+            state = self.steps.cut(self.times_a(state, "p"))
+            pap = self.dots(state, "p", "ap")
+            alpha = {k: rz[k] / v if v > 0 and rz[k] > 1e-24 else 0.0 for k, v in pap.items()}
+            state = self.with_scalars(state, alpha).select(
+                *keep,
+                *[(F.col(f"x{j}") + F.col(f"c{j}") * F.col(f"p{j}")).alias(f"x{j}") for j in span],
+                *[(F.col(f"r{j}") - F.col(f"c{j}") * F.col(f"ap{j}")).alias(f"r{j}") for j in span],
+                *self.names("p"),
+            )
+            state = self.steps.cut(self.preconditioned(state))
+            after = self.dots(state, "r", "z")
+            if done(after):
+                return state.select(*keep, *self.names("x"))
+            beta = {k: v / rz[k] if rz[k] > 1e-24 else 0.0 for k, v in after.items()}
+            state = self.with_scalars(state, beta).select(
+                *keep, *self.names("x"), *self.names("r"), *[(F.col(f"z{j}") + F.col(f"c{j}") * F.col(f"p{j}")).alias(f"p{j}") for j in span]
+            )
+            rz = after
+        raise RuntimeError(f"conjugate gradients did not converge in {MAX_STEPS} steps")
 
-        def scalar(values: dict[str, float]) -> Column:
-            if not values:
-                return F.lit(0.0)
-            table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-            return F.coalesce(F.try_element_at(table, F.col("scope")), F.lit(0.0))
-
-        new = ["scope", "item", "deg"]
-        for j in span:
-            a, b = scalar(alpha[j]), scalar(beta[j])
-            r = F.col(f"r{j}") - a * F.col(f"ap{j}")
-            new += [
-                (F.col(f"x{j}") + a * F.col(f"p{j}")).alias(f"x{j}"),
-                r.alias(f"r{j}"),
-                (r / diag + b * F.col(f"p{j}")).alias(f"p{j}"),
-            ]
-        state = state.select(*new)
-    return state.select("scope", "item", "deg", *names("x"))
-
-
-def probit_ranking(comparisons: DataFrame, ridge: float = RIDGE, probes: int = PROBES) -> DataFrame:
+
+def probit_ranking(comparisons: DataFrame, ridge: float = RIDGE, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """``scope, item, strength, std_error, n_comparisons long, n_won long, place int``.
 
     ``comparisons``: ``scope, winner, loser``, one row per comparison (a comparison that counts
     in several scopes has a row in each); the scopes must be few, as their scalars are handled
     by the driver. Rows with a null, and of an item with itself, take no part. ``place`` ranks
     the items of a scope by strength, ties by item. An empty table gives an empty result;
-    items that only ever won or lost get finite strengths through the prior.
+    items that only ever won or lost get finite strengths through the prior. The gradient, over
+    the diagonal, is below ``TOLERANCE`` everywhere, or an error is raised. Errors of scopes of
+    several blocks carry the noise of ``probes`` random solves.
     """
-    edges = cut_lineage(count_pairs(comparisons).repartition("scope", "src"))
-    items = cut_lineage(
-        edges.groupBy("scope", F.col("src").alias("item")).agg(
-            F.sum("n").cast("long").alias("n_comparisons"), F.round(F.sum(F.col("n") * F.col("y"))).cast("long").alias("n_won")
-        )
-    )
     spark = comparisons.sparkSession
-    rounds = StepTables(spark)
-    state = items.select("scope", "item", F.lit(0.0).alias("s"))
-    moved = 1.0
+    kept, rounds = StepTables(spark), StepTables(spark)
+    pairs = kept.cut(count_pairs(comparisons), keep=True)
+    items = pairs.groupBy("scope", F.col("src").alias("item")).agg(
+        F.sum("n").cast("long").alias("n_comparisons"), F.round(F.sum(F.col("n") * F.col("y"))).cast("long").alias("n_won")
+    )
+    items = kept.cut(items, keep=True)
+    sizes = items.groupBy("scope").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block))
+    sizes = F.broadcast(kept.cut(sizes, keep=True))  # a row per scope
+    in_block = lambda c: F.pmod(F.xxhash64("scope", c), F.col("blocks")).cast("int")
+    edges = pairs.join(sizes, "scope").select("scope", "src", "dst", in_block("src").alias("src_block"), in_block("dst").alias("dst_block"), "n", "y")
+    edges = kept.cut(edges, keep=True)
+    placed = items.join(sizes, "scope").select("scope", "item", in_block("item").alias("block"))
+    state = rounds.cut(_in_blocks(edges, placed, _fit_block(ridge), "scope string, item string, block int, s double"))
+
     for _ in range(MAX_ROUNDS):
-        weights = cut_lineage(_weigh(edges, state))
-        sides = weights.groupBy("scope", F.col("src").alias("item")).agg(
-            F.sum("w").alias("deg"), F.sum("wz").alias("b0")
-        )
-        start = state.join(sides, ["scope", "item"]).withColumnRenamed("s", "x0")
         steps = StepTables(spark)
+        weights = steps.cut(_weigh(edges, state), keep=True)
+        pulls = weights.groupBy("scope", F.col("src").alias("item")).agg(F.sum("w").alias("deg"), F.sum("u").alias("u"))
+        at = steps.cut(state.join(pulls, ["scope", "item"]).withColumn("b0", F.col("u") - F.lit(ridge) * F.col("s")).drop("u"), keep=True)
+        off = at.agg(F.max(F.abs(F.col("b0")) / (F.col("deg") + ridge))).first()[0]
+        if off is None or off < TOLERANCE:
+            break
+        start = at.withColumn("x0", F.lit(0.0))
         # Far from the solution a rough solve does.
-        solved = _solve(weights, start, 1, 0.2 if moved > 0.4 else 0.03, ridge, steps)
-        both = rounds.cut(state.join(solved, ["scope", "item"]))
+        solved = _Solver(spark, weights, ridge, 1, steps).solve(start, 0.1 if off > 0.1 else 0.01)
+        state = rounds.cut(state.join(solved.select("scope", "item", "x0"), ["scope", "item"]).select("scope", "item", "block", (F.col("s") + F.col("x0")).alias("s")))
         steps.close()
-        moved = both.agg(F.max(F.abs(F.col("x0") - F.col("s")))).first()[0]
-        state = both.select("scope", "item", F.col("x0").alias("s"))
-        if moved is None or moved < TOLERANCE:
-            break
-    state = cut_lineage(state)
-    # Curvature at the solution, and solves with random signs.
-    weights = cut_lineage(_weigh(edges, state))
+    else:
+        raise RuntimeError(f"strengths did not converge in {MAX_ROUNDS} rounds")
+
+    # The blocks' part of the errors, and solves with random signs for the rest. The constant
+    # vector of a scope is an eigenvector of ``A`` with eigenvalue ``ridge``: its share of the diagonal,
+    # 1 / (ridge size), is taken out of the estimate and added exactly.
     signs = [F.when(F.pmod(F.xxhash64("scope", "item", F.lit(j)), F.lit(2)) == 0, 1.0).otherwise(-1.0) for j in range(probes)]
-    # The constant vector of a scope is an eigenvector of its block with eigenvalue `ridge`;
-    # its share of the diagonal, 1 / (ridge n), is taken out of the estimate and added exactly.
-    centre = items.groupBy("scope").agg(F.count("*").alias("size"), *[F.avg(x).alias(f"c{j}") for j, x in enumerate(signs)])
-    start = (
-        weights.groupBy("scope", F.col("src").alias("item"))
-        .agg(F.sum("w").alias("deg"))
-        .join(centre, "scope")
-        .select("scope", "item", "deg", "size", *[(x - F.col(f"c{j}")).alias(f"b{j}") for j, x in enumerate(signs)])
-    )
-    sizes = centre.select("scope", "size")
-    start = start.select("*", *[(F.col(f"b{j}") / (F.col("deg") + ridge)).alias(f"x{j}") for j in range(probes)])
-    steps = StepTables(spark)
-    solved = _solve(weights, start.drop("size"), probes, 0.1, ridge, steps).join(sizes, "scope")
-    estimate = 1 / (F.lit(ridge) * F.col("size")) + sum((x * F.col(f"x{j}") for j, x in enumerate(signs)), F.lit(0.0)) / probes
-    variance = F.least(F.lit(1.0 / ridge), F.greatest(1 / (F.col("deg") + ridge), estimate))
-    out = cut_lineage(
-        items.join(state, ["scope", "item"])
-        .join(solved.select("scope", "item", F.sqrt(variance).alias("std_error")), ["scope", "item"])
+    centre = kept.cut(items.groupBy("scope").agg(*[F.avg(x).alias(f"c{j}") for j, x in enumerate(signs)]), keep=True)
+    own = _in_blocks(weights, at.select("scope", "item", "block", "deg"), _invert_block(ridge), "scope string, item string, own double, row_sum double")
+    own = steps.cut(own, keep=True)
+    solver = _Solver(spark, weights, ridge, probes, steps)
+    sides = at.join(F.broadcast(centre), "scope").select("scope", "item", "block", "deg", *[(x - F.col(f"c{j}")).alias(f"r{j}") for j, x in enumerate(signs)])  # a row per scope
+    known = steps.cut(solver.preconditioned(sides), keep=True)
+    start = known.select("scope", "item", "block", "deg", *[F.col(f"z{j}").alias(f"x{j}") for j in range(probes)], *[F.col(f"r{j}").alias(f"b{j}") for j in range(probes)])
+    solved = solver.solve(start, 0.01).select("scope", "item", *solver.names("x"))
+    both = known.select("scope", "item", "deg", *solver.names("z")).join(solved, ["scope", "item"]).join(own, ["scope", "item"]).join(sizes, "scope")
+    rest = sum((x * (F.col(f"x{j}") - F.col(f"z{j}")) for j, x in enumerate(signs)), F.lit(0.0)) / probes
+    exact = F.col("own") + (F.lit(1.0 / ridge) - F.col("row_sum")) / F.col("size")
+    variance = F.least(F.lit(1.0 / ridge), F.greatest(1 / (F.col("deg") + ridge), exact + rest))
+    out = (
+        items.join(state.select("scope", "item", "s"), ["scope", "item"])
+        .join(both.select("scope", "item", F.sqrt(variance).alias("std_error")), ["scope", "item"])
         .select("scope", "item", F.col("s").alias("strength"), "std_error", "n_comparisons", "n_won")
     )
-    steps.close()
-    rounds.close()
-    return _placed(out)
+    out = _placed(out)
+    for tables in (steps, rounds, kept):
+        tables.close()
+    return out
 
 
 def _placed(df: DataFrame) -> DataFrame:

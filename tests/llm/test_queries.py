@@ -16,6 +16,6 @@ def test_twin(spark, name):
     assert got == sorted(con.execute(ORACLES[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"p5_ranking"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

@@ -109,16 +109,16 @@ class _Block:
     def total(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.src, values, self.size)
 
-    def solve(self, w: np.ndarray, diag: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Conjugate gradients to full accuracy for the columns of ``b``."""
+    def solve(self, w: np.ndarray, diag: np.ndarray, b: np.ndarray, forcing: float = 1e-8) -> np.ndarray:
+        """Conjugate gradients for the columns of ``b``, until the residual is down by ``forcing``."""
         times = lambda v: diag * v - self.total(w * v[self.dst])
         out = np.empty_like(b)
         for j in range(b.shape[1]):
-            x, r = b[:, j] / diag, None
+            x = b[:, j] / diag
             r = b[:, j] - times(x)
             z = r / diag
             p, rz = z, float(r @ z)
-            goal = max(float(b[:, j] @ (b[:, j] / diag)) * 1e-26, 1e-300)
+            goal = max(float(b[:, j] @ (b[:, j] / diag)) * forcing**2, 1e-300)
             for _ in range(20 * self.size + 100):
                 if rz <= goal:
                     break
@@ -145,7 +145,7 @@ def _fit_block(ridge: float) -> Callable:
             g = block.total(n * phi * (y - p) / (p * (1 - p))) - ridge * s
             if np.abs(g / diag).max() < 0.01 * TOLERANCE:
                 break
-            s = s + block.solve(w, diag, g[:, None])[:, 0]
+            s = s + block.solve(w, diag, g[:, None], 0.01)[:, 0]
         return pd.DataFrame({"scope": items["scope"], "item": items["item"], "block": items["block"], "s": s})
 
     return run
@@ -161,13 +161,15 @@ def _solve_block(ridge: float, inputs: Sequence[str], outputs: Sequence[str]) ->
     return run
 
 
-def _invert_block(ridge: float) -> Callable:
+def _invert_block(ridge: float, sides: Sequence[str], outputs: Sequence[str]) -> Callable:
     def run(edges: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         block = _Block(edges, rows["item"])
         a = np.diag(rows["deg"].to_numpy() + ridge)
         np.subtract.at(a, (block.src, block.dst), edges["w"].to_numpy())
         inverse = np.linalg.inv(a)
-        return pd.DataFrame({"scope": rows["scope"], "item": rows["item"], "own": np.diag(inverse), "row_sum": inverse.sum(axis=1)})
+        out = rows[["scope", "item", "block", "deg"]].reset_index(drop=True).assign(own=np.diag(inverse), row_sum=inverse.sum(axis=1))
+        r = rows[list(sides)].to_numpy()
+        return pd.concat([out, pd.DataFrame(r, columns=list(sides)), pd.DataFrame(inverse @ r, columns=list(outputs))], axis=1)
 
     return run
 
@@ -299,14 +301,14 @@ def probit_ranking(comparisons: DataFrame, ridge: float = RIDGE, probes: int = P
     # 1 / (ridge size), is taken out of the estimate and added exactly.
     signs = [F.when(F.pmod(F.xxhash64("scope", "item", F.lit(j)), F.lit(2)) == 0, 1.0).otherwise(-1.0) for j in range(probes)]
     centre = kept.cut(items.groupBy("scope").agg(*[F.avg(x).alias(f"c{j}") for j, x in enumerate(signs)]), keep=True)
-    own = _in_blocks(weights, at.select("scope", "item", "block", "deg"), _invert_block(ridge), "scope string, item string, own double, row_sum double")
-    own = steps.cut(own, keep=True)
     solver = _Solver(spark, weights, ridge, probes, steps)
     sides = at.join(F.broadcast(centre), "scope").select("scope", "item", "block", "deg", *[(x - F.col(f"c{j}")).alias(f"r{j}") for j, x in enumerate(signs)])  # a row per scope
-    known = steps.cut(solver.preconditioned(sides), keep=True)
+    numbers = ", ".join(f"{c} double" for c in ("deg", "own", "row_sum", *solver.names("r"), *solver.names("z")))
+    known = _in_blocks(weights, sides, _invert_block(ridge, solver.names("r"), solver.names("z")), f"scope string, item string, block int, {numbers}")
+    known = steps.cut(known, keep=True)
     start = known.select("scope", "item", "block", "deg", *[F.col(f"z{j}").alias(f"x{j}") for j in range(probes)], *[F.col(f"r{j}").alias(f"b{j}") for j in range(probes)])
     solved = solver.solve(start, 0.01).select("scope", "item", *solver.names("x"))
-    both = known.select("scope", "item", "deg", *solver.names("z")).join(solved, ["scope", "item"]).join(own, ["scope", "item"]).join(sizes, "scope")
+    both = known.select("scope", "item", "deg", "own", "row_sum", *solver.names("z")).join(solved, ["scope", "item"]).join(sizes, "scope")
     rest = sum((x * (F.col(f"x{j}") - F.col(f"z{j}")) for j, x in enumerate(signs)), F.lit(0.0)) / probes
     exact = F.col("own") + (F.lit(1.0 / ridge) - F.col("row_sum")) / F.col("size")
     variance = F.least(F.lit(1.0 / ridge), F.greatest(1 / (F.col("deg") + ridge), exact + rest))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,6 @@ def similarity(a, b):
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def _edits(length: Column, least: float) -> Column:
-    """The most edits that leave a ratio of ``least`` where the longer name has that length."""
-    return F.floor(length * F.lit(1 - least) + F.lit(1e-9)).cast("int")
-
-
 def _start(i: Column, length: Column, k: Column) -> Column:
     """Where piece ``i`` of the ``k + 1`` pieces of a name starts, counted from 0."""
     return F.floor(i * length / (k + 1)).cast("int")
@@ -29,17 +26,18 @@ def _key(length: Column, i: Column, piece: Column) -> Column:
     return F.concat_ws(":", length.cast("string"), i.cast("string"), piece)
 
 
-def _pieces(name: Column, least: float) -> Column:
-    """Keys of a name as the longer one of a pair: its pieces."""
+def piece_keys(name: Column, edits: Callable[[Column], Column]) -> Column:
+    """Keys of a name as the longer one of a pair: its pieces, one more than the edits that may
+    part it from the other."""
     m = F.length(name)
-    k = _edits(m, least)
+    k = edits(m)
     end = lambda i: _start(i + 1, m, k)
     return F.transform(F.sequence(F.lit(0), k), lambda i: _key(m, i, F.substring(name, _start(i, m, k) + 1, end(i) - _start(i, m, k))))
 
 
-def _places(name: Column, least: float, longer: int) -> Column:
-    """Keys of a name as the shorter one: for each length of the other (``longer`` more at
-    least), whatever stands where one of its pieces can have moved to."""
+def place_keys(name: Column, edits: Callable[[Column], Column], longer: int, most: Column) -> Column:
+    """Keys of a name as the shorter one: for each length of the other (from ``longer`` letters more
+    to ``most``), whatever stands where one of its pieces can have moved to."""
     n = F.length(name)
 
     def of_piece(m: Column, k: Column, i: Column) -> Column:
@@ -49,10 +47,9 @@ def _places(name: Column, least: float, longer: int) -> Column:
         return F.transform(_range(low, high), lambda at: _key(m, i, F.substring(name, at + 1, size)))
 
     def of_length(m: Column) -> Column:
-        k = _edits(m, least)
+        k = edits(m)
         return F.flatten(F.transform(F.sequence(F.lit(0), k), lambda i: of_piece(m, k, i)))
 
-    most = F.floor(n / F.lit(least) + F.lit(1e-9)).cast("int")
     return F.array_distinct(F.flatten(F.transform(_range(n + longer, most), of_length)))
 
 
@@ -66,10 +63,12 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float = 0.75, top
     the lengths, so -(k + d) / 2 <= s <= (k - d) / 2. Both sides list these keys: an equi-join."""
     names = lambda df, n: df.select(F.col("name").alias(n)).filter("name is not null and name <> ''").distinct()
     l, r = names(left, "l"), names(right, "r")
+    edits = lambda m: F.floor(m * F.lit(1 - least) + F.lit(1e-9)).cast("int")
+    most = lambda name: F.floor(F.length(name) / F.lit(least) + F.lit(1e-9)).cast("int")
     met = lambda a, b: a.join(b, "key").select("l", "r")
     keyed = lambda df, keys: df.withColumn("key", F.explode(keys))
-    pairs = met(keyed(l, _pieces(F.col("l"), least)), keyed(r, _places(F.col("r"), least, 0))).unionByName(
-        met(keyed(l, _places(F.col("l"), least, 1)), keyed(r, _pieces(F.col("r"), least)))
+    pairs = met(keyed(l, piece_keys(F.col("l"), edits)), keyed(r, place_keys(F.col("r"), edits, 0, most("r")))).unionByName(
+        met(keyed(l, place_keys(F.col("l"), edits, 1, most("l"))), keyed(r, piece_keys(F.col("r"), edits)))
     )
     ratio = similarity(F.col("l"), F.col("r"))
     w = Window.partitionBy("name").orderBy(F.col("ratio").desc(), "candidate")

@@ -1,13 +1,18 @@
 """Probabilistic linkage of listings and matches that share no key.
 
-Multi-pass blocking proposes pairs: each pass joins on a key made of parts of both names (in
-either order) and a time bucket, so that an error in one part of a name leaves other passes
-intact; a pair found by several passes is kept by the first key it shares. Records without a
-time are blocked on the names alone, against the other side reduced to one row per distinct
-(names, surface, level) with a count, which keeps the number of pairs linear. Pairs are compared
-field by field on agreement levels; expectation-maximisation over the counts of the agreement
-patterns (their number is bounded by the product of the level counts) gives the match and
-non-match probabilities of every level, and with them the odds of each pair. As a listing has
+Names are parsed once per distinct spelling, and compared once per pair of distinct forms: keys
+that hold every pair within the tolerated misspellings (pieces of the name by the pigeonhole
+principle, in several passes for edits, cut names and the halves of double names) propose
+the pairs, and their level of agreement is kept in a table. One name of a pair of records may be two
+letters off, the other a single slip. A listing then stands for the pairs of
+right-hand names that its two names may mean, and meets the records of such a pair of names within a
+time bucket: equality of hashes, so blocks are as small as the matches of two players in two
+weeks. Records without a time are blocked on the names alone, against the other side reduced to one row per distinct
+(names, surface, level) with a count, which keeps the number of pairs linear.
+
+Pairs are compared field by field on agreement levels; expectation-maximisation over the counts of
+the agreement patterns (their number is bounded by the product of the level counts) gives the match
+and non-match probabilities of every level, and with them the odds of each pair. As a listing has
 at most one match, its candidates compete: the confidence of a pair is its odds over one plus
 the odds of all candidates of the listing.
 """
@@ -23,12 +28,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallygrid.session import cut_lineage
+from rallygrid.operators.fuzzy import piece_keys, place_keys
+from rallygrid.session import broadcast_if_small, cut_lineage
 
 #: Times further apart than this are never the same occasion.
 REACH_DAYS = 8
 BUCKET_DAYS = 2 * REACH_DAYS
 PART = 4
+#: Level of names that are equal but for one slip; one name of a pair must reach it.
+SLIP = 2
 CONFIDENCE = 0.5
 
 #: Particles of surnames, and the spellings of surfaces and levels.
@@ -45,8 +53,9 @@ LEVELS = {
     "d": "d", "team": "d", "a": "a", "tour": "a",
 }
 
-#: Levels per field, best agreement last; 0 of the times stands for an unknown time.
-FIELDS = {"name_1": 5, "initial_1": 3, "name_2": 5, "initial_2": 3, "order": 3, "time": 11, "surface": 3, "level": 3}
+#: Levels per field, best agreement last; 0 of the times stands for an unknown time. Names beyond any
+#: misspelling (level 0) are not proposed at all.
+FIELDS = {"name_1": 4, "initial_1": 3, "name_2": 4, "initial_2": 3, "order": 3, "time": 11, "surface": 3, "level": 3}
 
 
 def fold(text: str) -> str:
@@ -103,85 +112,98 @@ def _canon(column: Column, spellings: dict[str, str]) -> Column:
     return F.try_element_at(pairs, F.lower(F.trim(column)))
 
 
-def prepare(df: DataFrame) -> DataFrame:
-    """``id, first, second, oriented, t, surface, level`` -> parsed and canonical fields."""
+def parsed_names(*sides: DataFrame) -> DataFrame:
+    """``name, form, sur, ini, head, tail`` of every distinct spelling; ``form`` is a hash of the surname."""
     parsed = F.pandas_udf(_parse_batches, "sur string, ini string, head string, tail string")
-    return df.select(
-        "id",
-        parsed("first").alias("a"),
-        parsed("second").alias("b"),
-        F.col("oriented"),
-        F.col("t").cast("timestamp").alias("t"),
-        _canon(F.col("surface"), SURFACES).alias("surface"),
-        _canon(F.col("level"), LEVELS).alias("level"),
-    ).filter("a.sur <> '' and b.sur <> ''")
-
-
-def _keys(with_initials: bool) -> Column:
-    part = lambda s, k: F.substring(s, 1, PART) if k == "P" else F.substring(s, -PART, PART)
-    a, b = F.col("a.sur"), F.col("b.sur")  # the ends of the whole name are those of its parts
-    both = lambda k, x, y: F.concat(F.lit(k), F.least(x, y), F.lit("|"), F.greatest(x, y))
-    out = [
-        both("PP:", part(a, "P"), part(b, "P")),
-        both("SS:", part(a, "S"), part(b, "S")),
-        F.concat(F.lit("PS:"), part(a, "P"), F.lit("|"), part(b, "S")),
-        F.concat(F.lit("PS:"), part(b, "P"), F.lit("|"), part(a, "S")),
-    ]
-    if with_initials:
-        out += [
-            F.when(F.col("b.ini") != "", F.concat(F.lit("FI:"), a, F.lit("|"), F.col("b.ini"))),
-            F.when(F.col("a.ini") != "", F.concat(F.lit("FI:"), b, F.lit("|"), F.col("a.ini"))),
-        ]
-    # Hashes travel lighter; keys that collide only share a block.
-    return F.array_distinct(F.transform(F.array_compact(F.array(*out)), lambda k: F.xxhash64(k)))
-
-
-def _propose(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs that share a key (and bucket), each once; both sides have ``rec, keys, buckets``."""
-    spread = lambda df, n: (
-        df.select(F.col("rec").alias(n), F.col("keys").alias(f"{n}_keys"), F.explode("buckets").alias("bucket"), "keys")
-        .withColumn("key", F.explode("keys"))
-        .drop("keys")
+    names = None
+    for df in sides:
+        own = df.select(F.explode(F.array("first", "second")).alias("name")).filter("name is not null")
+        names = own if names is None else names.unionByName(own)
+    out = names.distinct().select("name", parsed("name").alias("p")).select("name", "p.*").filter("sur <> ''")
+    blank = F.lit("")
+    return out.withColumn("form", F.xxhash64("sur", F.coalesce("head", blank), F.coalesce("tail", blank)))
+
+
+def prepare(df: DataFrame, names: DataFrame) -> DataFrame:
+    """``id, first, second, oriented, t, surface, level`` -> forms and initials of both names, canonical fields."""
+    out = df.filter("id is not null and first is not null and second is not null").select(
+        "id", "first", "second", "oriented", F.col("t").cast("timestamp").alias("t"), _canon(F.col("surface"), SURFACES).alias("surface"), _canon(F.col("level"), LEVELS).alias("level")
     )
-    pairs = spread(left, "l").join(spread(right, "r"), ["key", "bucket"])
-    return pairs.filter(F.element_at(F.array_intersect("l_keys", "r_keys"), 1) == F.col("key")).select("l", "r")
+    for side, x in (("first", "a"), ("second", "b")):
+        out = out.join(names.select(F.col("name").alias(side), F.col("form").alias(x), F.col("ini").alias(f"{x}_ini")), side).drop(side)
+    return out
 
 
-def candidates(listings: DataFrame, matches: DataFrame) -> DataFrame:
-    """Blocked pairs ``l, r`` of two prepared frames; ``r.n`` counts the matches it stands for."""
+def _edits(m: Column) -> Column:
+    """The most edits at which names, the longer of m letters, still agree in some level."""
+    return F.least(m, F.lit(2))
+
+
+def _words(forms: DataFrame, name: str) -> DataFrame:
+    """A row per form and part: the whole surname and the halves of a double name."""
+    return forms.select(F.col("form").alias(name), F.explode(F.array_compact(F.array("sur", "head", "tail"))).alias(f"{name}_x")).filter(f"{name}_x <> ''")
+
+
+def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``l, r, agreement``: forms of both sides that agree at least in the lowest level above 0.
+
+    Two words within k edits share one of k + 1 pieces of the longer one, near its place; a word that
+    is cut short shares its first letters. What is proposed is checked at once, and compared as a
+    whole once per pair of forms."""
+    l, r = _words(left, "l"), _words(right, "r")
+    most = lambda n: F.length(n) + F.lit(2)
+    start = lambda n: F.when(F.length(n) >= PART, F.array(F.concat(F.lit("^"), F.substring(n, 1, PART)))).otherwise(F.array().cast("array<string>"))
+    # Few bytes but much work: a set number of partitions, which adaptive coalescing leaves alone.
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = lambda df, keys: df.withColumn("key", F.explode(F.transform(keys, lambda k: F.xxhash64(k)))).repartition(parts, "key")
+    near = (F.levenshtein("l_x", "r_x", 2) >= 0) | ((F.abs(F.length("l_x") - F.length("r_x")) <= PART) & (F.startswith("l_x", "r_x") | F.startswith("r_x", "l_x")))
+    met = lambda a, b: a.join(b, "key").filter(near).select("l", "r")
+    longer_l = met(keyed(l, F.concat(piece_keys(F.col("l_x"), _edits), start("l_x"))), keyed(r, F.concat(place_keys(F.col("r_x"), _edits, 0, most("r_x")), start("r_x"))))
+    longer_r = met(keyed(l, place_keys(F.col("l_x"), _edits, 1, most("l_x"))), keyed(r, piece_keys(F.col("r_x"), _edits)))
+    named = lambda df, n: df.select(F.col("form").alias(n), F.struct("sur", "head", "tail").alias(f"{n}n"))
+    pairs = longer_l.unionByName(longer_r).distinct().join(named(left, "l"), "l").join(named(right, "r"), "r")
+    return pairs.select("l", "r", _name_level("ln", "rn").alias("agreement")).filter("agreement > 0")
+
+
+def candidates(listings: DataFrame, matches: DataFrame, names: DataFrame) -> DataFrame:
+    """Blocked pairs ``l, r`` (records), with the agreement of both names and whether the match has
+    them the other way round; ``r.n`` counts the matches it stands for. ``names``: see ``name_pairs``."""
     day = F.floor(F.unix_seconds("t") / 86400)
     one = F.array(F.lit(0).cast("long"))
     bucket = lambda d: F.floor(d / BUCKET_DAYS)
-    record = F.struct(*[F.col(c) for c in ("id", "a", "b", "oriented", "t", "surface", "level", "n")])
-    same = ["a", "b", "oriented", "surface", "level"]
+    fields = ("id", "a", "a_ini", "b", "b_ini", "oriented", "t", "surface", "level")
+    key = lambda x, y: F.xxhash64(F.least(x, y), F.greatest(x, y))
+    meant = names
+    for side, x in (("a", "1"), ("b", "2")):
+        may = names.select(F.col("l").alias(side), F.col("r").alias(f"r{x}"), F.col("agreement").alias(f"name_{x}"))
+        meant = listings.join(may, side) if side == "a" else meant.join(may, side).filter(f"name_1 >= {SLIP} or name_2 >= {SLIP}")
+    asked = meant.select(F.struct(*fields).alias("l"), "r1", "r2", "name_1", "name_2", key("r1", "r2").alias("key"), "t")
 
-    def whole(df: DataFrame) -> DataFrame:
-        return df.withColumn("n", F.lit(1).cast("long"))
+    def held(df: DataFrame) -> DataFrame:
+        return df.select(F.struct(*fields, "n").alias("r"), key("a", "b").alias("key"), "t")
 
-    def reduced(df: DataFrame, time: Column) -> DataFrame:
-        return df.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("n"), time.alias("t"))
+    whole = matches.withColumn("n", F.lit(1).cast("long"))
+    same = [c for c in fields if c not in ("id", "t")]
+    reduced = lambda df: df.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("t", F.lit(None).cast("timestamp"))
 
-    def blocked(df: DataFrame, buckets: Column, initials: bool) -> DataFrame:
-        return df.select(record.alias("rec"), _keys(initials).alias("keys"), buckets.alias("buckets"))
+    def meet(left: DataFrame, near: Column, right: DataFrame, at: Column) -> DataFrame:
+        return left.withColumn("bucket", F.explode(near)).drop("t").join(right.withColumn("bucket", at).drop("t"), ["key", "bucket"])
 
-    timed_l, timed_r = listings.filter("t is not null"), matches.filter("t is not null")
     near = F.sequence(bucket(day - REACH_DAYS), bucket(day + REACH_DAYS))
-    out = _propose(
-        blocked(whole(timed_l), near, True), blocked(whole(timed_r), F.array(bucket(day)), True)
-    )
+    timed = asked.filter("t is not null")
+    none = F.lit(0).cast("long")
+    out = meet(timed, near, held(whole.filter("t is not null")), bucket(day))
     # A listing without a time against all matches, and any timed listing against matches without.
-    no_time = F.lit(None).cast("timestamp")
-    out = out.unionByName(
-        _propose(blocked(whole(listings.filter("t is null")), one, False), blocked(reduced(matches, no_time), one, False))
-    )
-    return out.unionByName(
-        _propose(blocked(whole(timed_l), one, False), blocked(reduced(matches.filter("t is null"), no_time), one, False))
-    )
+    out = out.unionByName(meet(asked.filter("t is null"), one, held(reduced(matches)), none))
+    out = out.unionByName(meet(timed, one, held(reduced(matches.filter("t is null"))), none))
+    straight = (F.col("r1") == F.col("r.a")) & (F.col("r2") == F.col("r.b"))
+    crossed = (F.col("r1") == F.col("r.b")) & (F.col("r2") == F.col("r.a"))
+    return out.filter(straight | crossed).select("l", "r", "name_1", "name_2", (~straight).alias("swap"))
 
 
 def _name_level(x: str, y: str) -> Column:
-    """Agreement of two parsed surnames (columns of ``parse_name``): 4 equal, 3 one slip, cut
-    short or one part of a double name, 2 and 1 more slips, 0 beyond any misspelling."""
+    """Agreement of two parsed surnames (columns of ``parse_name``): 3 equal, 2 one slip, cut
+    short or one part of a double name, 1 two slips, 0 beyond any misspelling."""
     c = F.col
     part = lambda n, k: c(f"{n}.sur") if k == "sur" else F.coalesce(c(f"{n}.{k}"), c(f"{n}.sur"))
     parts = F.greatest(
@@ -189,21 +211,20 @@ def _name_level(x: str, y: str) -> Column:
     )
     double = c(f"{x}.head").isNotNull() | c(f"{y}.head").isNotNull()
     whole = _spelling(c(f"{x}.sur"), c(f"{y}.sur"))
-    return F.when((whole < 3) & double, F.greatest(whole, F.least(parts, F.lit(3)))).otherwise(whole)
+    return F.when((whole < SLIP) & double, F.greatest(whole, F.least(parts, F.lit(SLIP)))).otherwise(whole)
 
 
 def _spelling(x: Column, y: Column) -> Column:
-    d = F.levenshtein(x, y, 3)  # -1 beyond three edits
+    d = F.levenshtein(x, y, 2)  # -1 beyond two edits
     d = F.when(d < 0, 99).otherwise(d)
     letters = lambda c: F.array_sort(F.split(c, ""))
     d = F.when((d == 2) & (letters(x) == letters(y)), 1).otherwise(d)  # two letters changed places
     shorter = F.least(F.length(x), F.length(y))
     cut_short = (shorter >= PART) & (F.abs(F.length(x) - F.length(y)) <= PART) & (F.startswith(x, y) | F.startswith(y, x))
     return (
-        F.when(x == y, 4)
-        .when((d <= 1) | cut_short, 3)
-        .when((d <= 2) & (shorter >= 6), 2)
-        .when((d <= 3) & (shorter >= 7), 1)
+        F.when(x == y, 3)
+        .when((d <= 1) | cut_short, SLIP)
+        .when((d <= 2) & (shorter >= 6), 1)
         .otherwise(0)
     )
 
@@ -214,13 +235,9 @@ def _agreement(x: Column, y: Column) -> Column:
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """Agreement levels of all fields, with ids, ``n`` and the gap in hours."""
+    """Agreement levels of all fields, with ids, ``n`` and the gap in hours, once per pair of records:
+    names that agree both ways round count the better way."""
     c = F.col
-    straight = [_name_level("l.a", "r.a"), _name_level("l.b", "r.b")]
-    crossed = [_name_level("l.a", "r.b"), _name_level("l.b", "r.a")]
-    levels = pairs.select("*", *[x.alias(n) for n, x in zip(("s1", "s2", "x1", "x2"), (*straight, *crossed))])
-    swap = (c("x1") + c("x2")) > (c("s1") + c("s2"))
-    pick = lambda x, y: F.when(swap, y).otherwise(x)
     hours = (F.unix_seconds("l.t") - F.unix_seconds("r.t")) / 3600.0
     # A listing of exactly midnight gives a day only; it is compared by calendar days.
     day_only = F.date_trunc("day", c("l.t")) == c("l.t")
@@ -233,29 +250,31 @@ def compare(pairs: DataFrame) -> DataFrame:
             .when(F.abs(hours) <= 72, 3).when(F.abs(hours) <= 144, 2).otherwise(1)
         )
     )
-    return levels.select(
-        c("l.id").alias("left_id"),
-        c("r.id").alias("right_id"),
-        c("r.n").alias("n"),
-        F.abs(hours).alias("gap"),
-        pick(c("s1"), c("x1")).alias("name_1"),
-        pick(_agreement(c("l.a.ini"), c("r.a.ini")), _agreement(c("l.a.ini"), c("r.b.ini"))).alias("initial_1"),
-        pick(c("s2"), c("x2")).alias("name_2"),
-        pick(_agreement(c("l.b.ini"), c("r.b.ini")), _agreement(c("l.b.ini"), c("r.a.ini"))).alias("initial_2"),
-        F.when(~(c("l.oriented") & c("r.oriented")), 1).when(swap, 0).otherwise(2).alias("order"),
-        time.alias("time"),
-        _agreement(c("l.surface"), c("r.surface")).alias("surface"),
-        _agreement(c("l.level"), c("r.level")).alias("level"),
+    other = lambda x, y: F.when(c("swap"), c(f"r.{y}_ini")).otherwise(c(f"r.{x}_ini"))
+    levels = {
+        "name_1": c("name_1"),
+        "initial_1": _agreement(c("l.a_ini"), other("a", "b")),
+        "name_2": c("name_2"),
+        "initial_2": _agreement(c("l.b_ini"), other("b", "a")),
+        "order": F.when(~(c("l.oriented") & c("r.oriented")), 1).when(c("swap"), 0).otherwise(2),
+        "time": time,
+        "surface": _agreement(c("l.surface"), c("r.surface")),
+        "level": _agreement(c("l.level"), c("r.level")),
+    }
+    rows = pairs.select(
+        c("l.id").alias("left_id"), c("r.id").alias("right_id"), c("r.n").alias("n"), F.abs(hours).alias("gap"),
+        F.struct(*[v.cast("tinyint").alias(k) for k, v in levels.items()]).alias("v"),
     )
+    best = F.max_by("v", F.struct(c("v.name_1") + c("v.name_2"), c("v.order")))
+    return rows.groupBy("left_id", "right_id").agg(F.first("n").alias("n"), F.first("gap").alias("gap"), best.alias("v")).select("left_id", "right_id", "n", "gap", "v.*")
 
 
-def fit_em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, list[np.ndarray]]:
+def fit_em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 2_000) -> tuple[float, list[np.ndarray]]:
     """Share of matches and log odds (match over non-match) of every level of every field.
 
     ``patterns``: one row of levels per distinct pattern. Starts from "agreement means match";
-    probabilities are smoothed by half a count per level, so nothing becomes impossible. Only
-    pairs in which neither name differs beyond any misspelling (level 0) can be matches: the
-    others stay non-matches throughout, and level 0 of a name rules a match out."""
+    probabilities are smoothed by half a count per level, so nothing becomes impossible. Raises if
+    the rounds don't converge."""
     sizes = list(FIELDS.values())
     good = np.array([(patterns[:, k] / (s - 1)) for k, s in enumerate(sizes)])
     names = list(FIELDS)
@@ -264,7 +283,7 @@ def fit_em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple
     key = good[[names.index(x) for x in ("name_1", "name_2")]].min(axis=0)
     w = np.clip(key * good.mean(axis=0) * 1.2 - 0.25, 0.01, 0.99)
     spelt = patterns[:, [names.index("name_1"), names.index("name_2")]].min(axis=1)
-    w = np.where(spelt >= 3, w, 0.01 * (spelt > 0))
+    w = np.where(spelt >= SLIP, w, 0.01)
     share, logs = 0.5, [np.zeros(s) for s in sizes]
     total = counts.sum()
     for _ in range(rounds):
@@ -275,12 +294,10 @@ def fit_em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple
             u = np.bincount(patterns[:, k], (1 - w) * counts, s) + 0.5
             logs[k] = np.log(m / m.sum()) - np.log(u / u.sum())
         odds = np.log(share / (1 - share)) + sum(logs[k][patterns[:, k]] for k in range(len(sizes)))
-        w = np.where(spelt > 0, 1 / (1 + np.exp(-np.clip(odds, -60, 60))), 0.0)
+        w = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
         if abs(share - before) < 1e-9:
-            break
-    for name in ("name_1", "name_2"):
-        logs[names.index(name)][0] = -60.0
-    return share, logs
+            return share, logs
+    raise RuntimeError(f"expectation-maximisation did not converge in {rounds} rounds")
 
 
 def link_records(listings: DataFrame, matches: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
@@ -293,9 +310,12 @@ def link_records(listings: DataFrame, matches: DataFrame, confidence: float = CO
     part; repeated matches share a listing's confidence; empty tables give no rows.
     """
     cols = ("id", "first", "second", "oriented", "t", "surface", "level")
-    left = cut_lineage(prepare(listings.select(*cols).filter("id is not null")))
-    right = cut_lineage(prepare(matches.select(*cols).filter("id is not null")))
-    scored = cut_lineage(compare(candidates(left, right)))
+    listings, matches = listings.select(*cols), matches.select(*cols)
+    names, _ = broadcast_if_small(cut_lineage(parsed_names(listings, matches)))
+    left, right = cut_lineage(prepare(listings, names)), cut_lineage(prepare(matches, names))
+    used = lambda df: names.join(df.select(F.explode(F.array("a", "b")).alias("form")).distinct(), "form", "left_semi").select("form", "sur", "head", "tail").distinct()
+    forms, _ = broadcast_if_small(cut_lineage(name_pairs(used(left), used(right))))
+    scored = cut_lineage(compare(candidates(left, right, forms)))
     seen = scored.groupBy(*FIELDS).agg(F.count("*").alias("pairs")).collect()
     if not seen:
         return listings.sparkSession.createDataFrame([], "left_id long, right_id long, confidence double")

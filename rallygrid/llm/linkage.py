@@ -177,10 +177,12 @@ def candidates(listings: DataFrame, matches: DataFrame, names: DataFrame) -> Dat
     for side, x in (("a", "1"), ("b", "2")):
         may = names.select(F.col("l").alias(side), F.col("r").alias(f"r{x}"), F.col("agreement").alias(f"name_{x}"))
         meant = listings.join(may, side) if side == "a" else meant.join(may, side).filter(f"name_1 >= {SLIP} or name_2 >= {SLIP}")
-    asked = meant.select(F.struct(*fields).alias("l"), "r1", "r2", "name_1", "name_2", key("r1", "r2").alias("key"), "t")
+    # The key stands for both names, so rows travel with the order of their hashes only.
+    light = [c for c in fields if c not in ("a", "b")]
+    asked = meant.select(F.struct(*light).alias("l"), (F.col("r1") <= F.col("r2")).alias("l_up"), "name_1", "name_2", key("r1", "r2").alias("key"), "t")
 
     def held(df: DataFrame) -> DataFrame:
-        return df.select(F.struct(*fields, "n").alias("r"), key("a", "b").alias("key"), "t")
+        return df.select(F.struct(*light, "n").alias("r"), (F.col("a") <= F.col("b")).alias("r_up"), key("a", "b").alias("key"), "t")
 
     whole = matches.withColumn("n", F.lit(1).cast("long"))
     same = [c for c in fields if c not in ("id", "t")]
@@ -196,9 +198,7 @@ def candidates(listings: DataFrame, matches: DataFrame, names: DataFrame) -> Dat
     # A listing without a time against all matches, and any timed listing against matches without.
     out = out.unionByName(meet(asked.filter("t is null"), one, held(reduced(matches)), none))
     out = out.unionByName(meet(timed, one, held(reduced(matches.filter("t is null"))), none))
-    straight = (F.col("r1") == F.col("r.a")) & (F.col("r2") == F.col("r.b"))
-    crossed = (F.col("r1") == F.col("r.b")) & (F.col("r2") == F.col("r.a"))
-    return out.filter(straight | crossed).select("l", "r", "name_1", "name_2", (~straight).alias("swap"))
+    return out.select("l", "r", "name_1", "name_2", (F.col("l_up") != F.col("r_up")).alias("swap"))
 
 
 def _name_level(x: str, y: str) -> Column:

@@ -3,20 +3,16 @@
 A version counts from the later of two instants on: the start of the day after its validity
 date and the moment it was recorded. Among the versions in effect at an event the one with the
 latest (validity date, recording, id) wins, which is a running maximum along the effect time.
-It is computed as a merge of versions and events. Entities with more rows than
-``shard_rows`` are cut into shards of equal depth along time; every shard gets the maximum
-over all earlier shards of its entity as a carried-in version, so the shards' merges are
-independent and yet exact, and no task holds more than about ``shard_rows`` rows of an entity.
+It is computed as a merge of versions and events, sharded along time for entities of many rows
+(``shards``), so no task holds more than about ``shard_rows`` rows of an entity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallygrid.session import broadcast_if_small, cut_lineage
-
-SHARD_ROWS = 50_000
+from rallygrid.operators.shards import SHARD_ROWS, latest_versions
 
 
 def as_known_at(
@@ -56,63 +52,8 @@ def as_known_at(
     )
     rows = ev.unionByName(ve, allowMissingColumns=True)
 
-    heavy = cut_lineage(
-        rows.groupBy("entity")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > shard_rows)
-    )
-    if heavy.isEmpty():
-        rows = rows.withColumn("shard", F.lit(0))
-        carried = None
-    else:
-        most = heavy.agg(F.max("n")).first()[0]
-        cuts = min(4096, -(-most // shard_rows)) * 2  # twice as many, as the borders are approximate
-        marks, _ = broadcast_if_small(heavy.select("entity"))
-        borders = cut_lineage(
-            rows.join(marks, "entity", "left_semi")
-            .groupBy("entity")
-            .agg(
-                F.array_distinct(
-                    F.percentile_approx(F.unix_micros("t"), [i / cuts for i in range(1, cuts)], 10 * cuts)
-                ).alias("borders")
-            )
-        )
-        borders, _ = broadcast_if_small(borders)
-        rows = rows.join(borders, "entity", "left").withColumn(
-            "shard",
-            F.coalesce(F.expr("size(filter(borders, b -> b <= unix_micros(t)))"), F.lit(0)),
-        ).drop("borders")
-        # One maximum per shard of a heavy entity: at most `cuts` rows an entity, pre-aggregated.
-        best = (
-            rows.filter("kind = 0")
-            .join(marks, "entity", "left_semi")
-            .groupBy("entity", "shard")
-            .agg(F.max_by("version", F.struct("version.valid_on", "version.recorded_at", "version.version_id")).alias("version"))
-        )
-        spans = marks.select("entity", F.explode(F.sequence(F.lit(0), F.lit(cuts))).alias("shard"))
-        order = Window.partitionBy("entity").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        key = "struct(version.valid_on, version.recorded_at, version.version_id)"
-        carried = (
-            spans.join(best, ["entity", "shard"], "left")
-            .withColumn("version", F.expr(f"max_by(version, {key})").over(order))
-            .filter("version is not null")
-            .select("entity", "shard", F.lit(None).cast("timestamp").alias("t"), F.lit(-1).alias("kind"), "version")
-        )
-    if carried is not None:
-        rows = rows.unionByName(carried, allowMissingColumns=True)
-
-    # Nulls (the carried-in version) sort first; at one instant versions stand before events.
-    merge = (
-        Window.partitionBy("entity", "shard")
-        .orderBy(F.col("t").asc_nulls_first(), "kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    known = rows.withColumn(
-        "known",
-        F.expr("max_by(version, struct(version.valid_on, version.recorded_at, version.version_id))").over(merge)
-        if payload
-        else F.max("version").over(merge),
-    ).filter("kind = 1 and known is not null")
+    rank = "version" if not payload else "struct(version.valid_on, version.recorded_at, version.version_id)"
+    known = latest_versions(rows, rank, shard_rows).filter("known is not null")
     return known.select(
         F.col("event.event_id").alias("event_id"),
         "entity",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rallygrid.functions.buckets import cut, cut_sql, dimension, label
 from rallygrid.functions.formulas import confidence_tier
-from rallygrid.operators.evaluate import auc, class_report, probability_scores
+from rallygrid.operators.evaluate import auc, class_report, exact_quantiles, probability_scores
 from rallygrid.plans.base import BETS, bets
 
 #: Bucket edges and thresholds (fixed values).
@@ -154,7 +154,8 @@ def streaks(spark: SparkSession, d: str) -> DataFrame:
 def decile_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Quantile buckets of the model probability, closed right; equal edges fall together."""
     rows = bets(spark, d)
-    edges = rows.agg(F.percentile("p_model", F.array(*[F.lit(i / 10) for i in range(11)])).alias("e")).select(F.array_distinct("e").alias("e"))
+    whole = rows.withColumn("everyone", F.lit(1))
+    edges = exact_quantiles(whole, "p_model", [i / 10 for i in range(11)], ["everyone"]).select(F.array_distinct("q").alias("e"))  # one row
     bucket = F.size(F.filter("e", lambda x: x < F.col("p_model")))
     out = rows.join(F.broadcast(edges)).withColumn("bucket", F.greatest(bucket, F.lit(1)))
     return out.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("p_model"), 6).alias("mean_p"), F.round(F.avg("target"), 6).alias("mean_target"))
@@ -201,10 +202,10 @@ def activity_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def describe_stats(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("edge", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
+    q = exact_quantiles(bets(spark, d), "edge", (0.25, 0.5, 0.75), ["target"])
     s = bets(spark, d).groupBy("target").agg(
-        F.count("edge").alias("count"), F.avg("edge").alias("mean"), F.stddev_samp("edge").alias("std"), F.min("edge").alias("min"), q.alias("q"), F.max("edge").alias("max")
-    )
+        F.count("edge").alias("count"), F.avg("edge").alias("mean"), F.stddev_samp("edge").alias("std"), F.min("edge").alias("min"), F.max("edge").alias("max")
+    ).join(q, "target")
     return s.select("target", "count", *[F.round(c, 6).alias(n) for c, n in (("mean", "mean"), ("std", "std"), ("min", "min"), (F.col("q")[0], "p25"), (F.col("q")[1], "p50"), (F.col("q")[2], "p75"), ("max", "max"))])
 
 

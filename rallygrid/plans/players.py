@@ -294,7 +294,7 @@ def rating_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", F.col("match_day").alias("match_date"), "surface", F.col("k").alias("k_factor"), "winner_id", "loser_id", *each)
 
 
-def _ratings_long(spark: SparkSession, d: str) -> DataFrame:
+def ratings_long(spark: SparkSession, d: str) -> DataFrame:
     side = lambda w: F.struct(
         F.col(f"{w}_id").alias("player_id"), F.col(f"{w}_elo_before").alias("elo"), F.col(f"{w}_surface_elo_before").alias("surface_elo"), F.col(f"{w}_matches_played").alias("played")
     )
@@ -303,7 +303,7 @@ def _ratings_long(spark: SparkSession, d: str) -> DataFrame:
 
 def _state(keys: list[str]):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = _ratings_long(spark, d).filter(" and ".join(f"{k} is not null" for k in keys))
+        rows = ratings_long(spark, d).filter(" and ".join(f"{k} is not null" for k in keys))
         latest = F.max_by(F.struct("history_id", "match_date", "elo", "surface_elo", "played"), F.struct("match_date", "history_id"))
         return rows.groupBy(*keys).agg(latest.alias("s")).select(*keys, "s.*")
 

@@ -48,8 +48,14 @@ def scan_parquet(spark: SparkSession, path: str | list[str], recursive: bool = F
 
 
 def scan_mixed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV and Parquet files below a folder, united by name."""
-    return scan_csv(spark, path, schema, recursive=True).drop("_corrupt").unionByName(provenance(scan_parquet(spark, path, recursive=True)), allowMissingColumns=True)
+    """CSV and Parquet files below a folder, united by name; bad lines stay in ``_corrupt``."""
+    return scan_csv(spark, path, schema, recursive=True).unionByName(provenance(scan_parquet(spark, path, recursive=True)), allowMissingColumns=True)
+
+
+def scan_report(df: DataFrame) -> DataFrame:
+    """``source_file, n, n_corrupt`` of a scan that kept ``_corrupt`` and ``source_file``; a file that is listed
+    in a folder but not here gave no row (unreadable or empty)."""
+    return df.groupBy("source_file").agg(F.count("*").alias("n"), F.count("_corrupt").alias("n_corrupt"))
 
 
 def scan_json_list(spark: SparkSession, path: str, list_column: str, schema: T.StructType) -> DataFrame:

@@ -54,6 +54,6 @@ def join_with_suffixes(left: DataFrame, right: DataFrame, on: Sequence[str], suf
 
 
 def first_known(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
-    """Per key and column the first value that is known, in the given order; columns may come
+    """Per key and column the first value that is known, in ascending order of the given columns; they may come
     from different rows. Pre-aggregated; null where none is known."""
     return df.groupBy(*keys).agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns])

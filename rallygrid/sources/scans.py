@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rallygrid.session import cut_lineage
+
 #: Column types of a raw match feed; every other column is text (fixed values).
 FEED_INTS = ("draw_size", "match_num", "best_of", "minutes", "winner_ht", "winner_rank", "winner_rank_points", "loser_ht", "loser_rank", "loser_rank_points", *[f"{s}_{c}" for s in "wl" for c in ("ace", "df", "svpt", "1stIn", "1stWon", "2ndWon", "SvGms", "bpSaved", "bpFaced")])
 FEED_DOUBLES = ("winner_age", "loser_age")
@@ -55,7 +57,8 @@ def scan_mixed(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def scan_report(df: DataFrame) -> DataFrame:
     """``source_file, n, n_corrupt`` of a scan that kept ``_corrupt`` and ``source_file``; a file that is listed
     in a folder but not here gave no row (unreadable or empty)."""
-    return df.groupBy("source_file").agg(F.count("*").alias("n"), F.count("_corrupt").alias("n_corrupt"))
+    # Bad lines are only known once a line is read whole, so the rows are written first.
+    return cut_lineage(df).groupBy("source_file").agg(F.count("*").alias("n"), F.count("_corrupt").alias("n_corrupt"))
 
 
 def scan_json_list(spark: SparkSession, path: str, list_column: str, schema: T.StructType) -> DataFrame:

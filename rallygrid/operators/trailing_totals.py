@@ -1,10 +1,12 @@
 """Rolling totals over trailing periods, idle days included.
 
 Deliveries are reduced to one row per real match, matches to one row per entity and day (both
-with map-side partial aggregation, so a hot entity never meets as raw rows), days are densified
-per entity, and fixed row frames over the dense days give the trailing sums. The calendar of an
-entity is unfolded from its own first and last day, which yields the entity-calendar product
-without a join; an entity's partition is bounded by the length of the calendar.
+with map-side partial aggregation, so a hot entity never meets as raw rows). The totals of a period
+change on active days and as many days later as the period has; running sums of what enters and
+leaves give them there, and each holds until the next change. The calendar of an entity is
+unfolded between its changes, which yields the entity-calendar product without a join or a
+window over it; an entity's partition is bounded by the length of the calendar. Sums are exact for
+the whole numbers taken.
 """
 
 from __future__ import annotations
@@ -40,48 +42,46 @@ def trailing_totals(
         *[F.col(f"`{m}`").cast("long").alias(f"m{i}") for i, m in enumerate(measures)],
     ).filter("e is not null and d is not null")
     span = range(len(measures))
-    # Densifying multiplies rows, so the few daily rows are spread by a set number of partitions,
-    # which adaptive coalescing leaves alone.
+    columns = ("n", *[f"s{i}" for i in span], *[f"c{i}" for i in span])
+    # The calendar multiplies rows, so the few rows before it are spread by a set number of
+    # partitions, which adaptive coalescing leaves alone.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     daily = rows.groupBy("e", "d").agg(
         F.count("*").alias("n"),
-        *[F.sum(f"m{i}").alias(f"s{i}") for i in span],
+        *[F.coalesce(F.sum(f"m{i}"), F.lit(0)).alias(f"s{i}") for i in span],
         *[F.count(f"m{i}").alias(f"c{i}") for i in span],
     ).repartition(parts, "e")
-    # Each active day unfolds to the days up to the next one, so densifying needs no join.
-    follows = Window.partitionBy("e").orderBy("d")
-    until = F.coalesce(F.date_sub(F.lead("d").over(follows), 1), F.col("d"))
-    dense = daily.withColumn("days", F.sequence("d", until)).select(
-        "e", F.posexplode("days").alias("k", "day"), "n", *[f"s{i}" for i in span], *[f"c{i}" for i in span]
-    )
-    active = F.col("k") == 0
-    dense = dense.select(
-        "e",
-        "day",
-        *[F.when(active, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0)).cast("long").alias(c)
-          for c in ("n", *[f"s{i}" for i in span], *[f"c{i}" for i in span])],
-    )
-    out = [F.col("e").alias(entity), F.col("day")]
-    # The sum over the last p rows is the running sum less the one p rows before: two window
-    # values a row whatever the period, where a sliding frame is summed anew for every row.
+    # What a day adds enters the total of period p on that day and leaves it p days on. The totals
+    # only change on such days: they run over these, and the calendar is unfolded between them.
+    no = F.lit(0).cast("long")
+    enter = F.struct(F.col("d").alias("day"), F.col("d").alias("active"), *[F.col(c).alias(f"{c}_{p}") for p in periods for c in columns])
+    leave = [
+        F.struct(F.date_add("d", p).alias("day"), F.lit(None).cast("date").alias("active"), *[(-F.col(c) if q == p else no).alias(f"{c}_{q}") for q in periods for c in columns])
+        for p in periods
+    ]
+    changes = daily.select("e", F.explode(F.array(enter, *leave)).alias("x")).select("e", "x.*")
+    changes = changes.groupBy("e", "day").agg(F.max("active").alias("active"), *[F.sum(f"{c}_{p}").alias(f"{c}_{p}") for p in periods for c in columns])
     ordered = Window.partitionBy("e").orderBy("day")
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for c in ("n", *[f"s{i}" for i in span], *[f"c{i}" for i in span]):
-        dense = dense.withColumn(c, F.sum(c).over(running))
-
-    def trailing(c: str, p: int) -> Column:
-        return F.col(c) - F.lag(c, p, 0).over(ordered)
-
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = changes.select(
+        "e", "day", F.date_sub(F.lead("day").over(ordered), 1).alias("until"), F.max("active").over(whole).alias("last"),
+        *[F.sum(f"{c}_{p}").over(running).alias(f"{c}_{p}") for p in periods for c in columns],
+    ).filter("day <= last")
+    out = []
     for p in periods:
-        out.append(trailing("n", p).alias(f"events_{p}"))
+        out.append(F.col(f"n_{p}").alias(f"events_{p}"))
         for i, m in enumerate(measures):
-            total, known = trailing(f"s{i}", p), trailing(f"c{i}", p)
+            total, known = F.col(f"s{i}_{p}"), F.col(f"c{i}_{p}")
             out += [
                 total.alias(f"{m}_sum_{p}"),
                 F.when(known > 0, total / known).alias(f"{m}_avg_{p}"),
                 (total / F.lit(float(p))).alias(f"{m}_daily_{p}"),
             ]
-    return dense.select(*out)
+    days = F.sequence("day", F.least(F.coalesce("until", "last"), F.col("last")))
+    ready = totals.select(F.col("e").alias("_e"), days.alias("_days"), *out)
+    named = [F.col(f"`{c}`") for c in ready.columns if c not in ("_e", "_days")]
+    return ready.select(F.col("_e").alias(entity), F.explode("_days").alias("day"), *named)
 
 
 def once_per_match(df: DataFrame, varying: Sequence[str] = ("row_id", "loaded_at", "tourney_date")) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -23,12 +25,22 @@ def _prepared(features: Sequence[str]) -> list:
     ]
 
 
+#: Rows of a partition in training. A boosted tree is some five jobs in a row, so on few rows the number
+#: of tasks is what it costs; on many rows the partitions grow in number, not in size.
+TRAIN_ROWS = 50_000
+
+
+def sized(df: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """In as many partitions as its rows need for training; a frame that is written already."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def logistic(features: Sequence[str], reg: float = 1e-4) -> Pipeline:
     return Pipeline(
         stages=[
             *_prepared(features),
             StandardScaler(inputCol="features_raw", outputCol="features", withMean=True),
-            LogisticRegression(featuresCol="features", labelCol="target", maxIter=200, regParam=reg),
+            LogisticRegression(featuresCol="features", labelCol="target", maxIter=2000, regParam=reg),
         ]
     )
 
@@ -44,6 +56,17 @@ def boosted_trees(features: Sequence[str], trees: int = 300, depth: int = 4, ste
     )
 
 
+#: Models fitted at once; they share the executors.
+PARALLEL = 4
+
+
+def fit_all(jobs: Sequence[tuple[Pipeline, DataFrame]]) -> list[PipelineModel]:
+    """Independent models, fitted side by side: each is a long row of small jobs, which leaves most of
+    a cluster idle."""
+    with ThreadPool(max(1, min(PARALLEL, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(jobs[0][1].sparkSession)(lambda job: job[0].fit(job[1])), jobs)
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``p``, the probability of class 1; drops the working columns."""
     out = model.transform(df).withColumn("p", vector_to_array("probability")[1])
@@ -55,8 +78,8 @@ def calibrated(make: Pipeline, train: DataFrame, key: str, folds: int = 3):
     curve on its scores; the calibrated probability is the mean over the folds."""
     fold = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(folds))
     models = []
-    for k in range(folds):
-        model = make.fit(train.filter(fold != k))
+    fitted = fit_all([(make, train.filter(fold != k)) for k in range(folds)])
+    for k, model in enumerate(fitted):
         held = score(model, train.filter(fold == k))
         curve = IsotonicRegression(featuresCol="p", labelCol="target", predictionCol="c").fit(held.withColumn("p", F.col("p").cast("double")))
         models.append((model, curve))
@@ -71,13 +94,19 @@ def calibrated(make: Pipeline, train: DataFrame, key: str, folds: int = 3):
     return apply
 
 
-def walk_forward(df: DataFrame, year: str, years: Sequence[int], features: Sequence[str], make=logistic) -> DataFrame:
-    """Train on the years before, test on the year; one row of metrics per year."""
+def walk_forward(df: DataFrame, year: str, years: Sequence[int], features: Sequence[str], make=logistic, profit: str | None = None, market: str | None = None, edge: float = 0.05) -> DataFrame:
+    """Train on the years before, test on the year; one row of metrics per year. With the columns
+    ``profit`` (of a unit stake) and ``market`` (its probability), also the number and mean profit of
+    the bets whose probability exceeds the market's by more than ``edge``."""
     out = None
-    for y in years:
-        model = make(features).fit(df.filter(F.col(year) < y))
+    fitted = fit_all([(make(features), df.filter(F.col(year) < y)) for y in years])
+    for y, model in zip(years, fitted):
         scored = score(model, df.filter(F.col(year) == y)).withColumn("test_year", F.lit(y))
         part = probability_scores(scored, "target", "p", ["test_year"]).join(auc(scored, "target", "p", ["test_year"]), "test_year")
+        if profit and market:
+            taken = F.col("p") - F.col(market) > edge
+            bet = scored.groupBy("test_year").agg(F.count(F.when(taken, 1)).alias("bets"), F.avg(F.when(taken, F.col(profit))).alias("roi"))
+            part = part.join(bet, "test_year")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -85,8 +114,9 @@ def walk_forward(df: DataFrame, year: str, years: Sequence[int], features: Seque
 def ablation(train: DataFrame, test: DataFrame, sets: dict[str, Sequence[str]], make=logistic) -> DataFrame:
     """Metrics of the same model on named feature sets."""
     out = None
-    for name, features in sets.items():
-        scored = score(make(features).fit(train), test).withColumn("feature_set", F.lit(name))
+    fitted = fit_all([(make(features), train) for features in sets.values()])
+    for name, model in zip(sets, fitted):
+        scored = score(model, test).withColumn("feature_set", F.lit(name))
         part = probability_scores(scored, "target", "p", ["feature_set"]).join(auc(scored, "target", "p", ["feature_set"]), "feature_set")
         out = part if out is None else out.unionByName(part)
     return out

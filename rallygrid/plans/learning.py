@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rallygrid.ml import ablation, boosted_trees, calibrated, logistic, permutation_importance, score, walk_forward
+from rallygrid.ml import ablation, boosted_trees, calibrated, logistic, permutation_importance, score, sized, walk_forward
 from rallygrid.functions.formulas import k_factor
 from rallygrid.operators.joins import backward_asof
 from rallygrid.operators.trailing_totals import once_per_match
@@ -57,7 +57,7 @@ SETS = {
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     doubles = [F.col(c).cast("double").alias(c) for c in FEATURES]
-    return cut_lineage(bets(spark, d).select("history_id", F.year("match_date").alias("year"), F.col("target").cast("double").alias("target"), *doubles))
+    return sized(cut_lineage(bets(spark, d).select("history_id", F.year("match_date").alias("year"), F.col("target").cast("double").alias("target"), "p_market", "profit", *doubles)))
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +115,7 @@ def _wide_rows(spark: SparkSession, d: str) -> DataFrame:
         w, l = F.col(f"winner_{c}"), F.col(f"loser_{c}")
         out = out.withColumns({f"{c}_a": F.when(won, w).otherwise(l), f"{c}_b": F.when(won, l).otherwise(w)})
     out = out.withColumns({f"delta_{c}": F.col(f"{c}_a") - F.col(f"{c}_b") for c in (*shares, *RANKS)})
-    return cut_lineage(out.select("history_id", F.year("match_date").alias("year"), "target", *ALL))
+    return sized(cut_lineage(out.select("history_id", F.year("match_date").alias("year"), "target", *ALL)))
 
 
 def logistic_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def walk_forward_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return walk_forward(_rows(spark, d), "year", (2021, 2022, 2023, 2024, 2025), FEATURES, boosted_trees)
+    return walk_forward(_rows(spark, d), "year", (2021, 2022, 2023, 2024, 2025), FEATURES, boosted_trees, "profit", "p_market")
 
 
 def ablation_metrics(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,9 @@ the pairs, and their level of agreement is kept in a table. One name of a pair o
 letters off, the other a single slip. A listing then stands for the pairs of
 right-hand names that its two names may mean, and meets the records of such a pair of names within a
 time bucket: equality of hashes, so blocks are as small as the matches of two players in two
-weeks. Records without a time are blocked on the names alone, against the other side reduced to one row per distinct
+weeks. Most of these pairs never met in that bucket, and their number grows with the square of the
+names alike: they are dropped where they arise, by a bit map of the (pair, bucket) that occur, so what
+is shuffled follows the pairs of records. Records without a time are blocked on the names alone, against the other side reduced to one row per distinct
 (names, surface, level) with a count, which keeps the number of pairs linear.
 
 Pairs are compared field by field on agreement levels; expectation-maximisation over the counts of
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallygrid.operators.fuzzy import piece_keys, place_keys
-from rallygrid.session import broadcast_if_small, cut_lineage
+from rallygrid.session import StepTables, broadcast_if_small, cut_lineage
 
 #: Times further apart than this are never the same occasion.
 REACH_DAYS = 8
@@ -38,6 +40,11 @@ PART = 4
 #: Level of names that are equal but for one slip; one name of a pair must reach it.
 SLIP = 2
 CONFIDENCE = 0.5
+#: Bits of the map a row of the right side: so few of the keys that never occur pass by chance.
+BITS = 32
+#: The most bits of a map, as it is broadcast; beyond, more keys pass by chance.
+MOST_BITS = 1 << 28
+CHUNK_WORDS = 512
 
 #: Particles of surnames, and the spellings of surfaces and levels.
 PARTICLES = frozenset({"da", "de", "del", "der", "di", "dos", "du", "el", "la", "le", "van", "von"})
@@ -167,16 +174,19 @@ def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def candidates(listings: DataFrame, matches: DataFrame, names: DataFrame) -> DataFrame:
     """Blocked pairs ``l, r`` (records), with the agreement of both names and whether the match has
-    them the other way round; ``r.n`` counts the matches it stands for. ``names``: see ``name_pairs``."""
+    them the other way round; ``r.n`` counts the matches it stands for. ``names``: ``l, may``, the pairs of
+    ``name_pairs`` by left name."""
     day = F.floor(F.unix_seconds("t") / 86400)
-    one = F.array(F.lit(0).cast("long"))
     bucket = lambda d: F.floor(d / BUCKET_DAYS)
     fields = ("id", "a", "a_ini", "b", "b_ini", "oriented", "t", "surface", "level")
     key = lambda x, y: F.xxhash64(F.least(x, y), F.greatest(x, y))
-    meant = names
+    # Meanings travel as lists and are paired at the end, should the names be too many to broadcast.
+    meant = listings
     for side, x in (("a", "1"), ("b", "2")):
-        may = names.select(F.col("l").alias(side), F.col("r").alias(f"r{x}"), F.col("agreement").alias(f"name_{x}"))
-        meant = listings.join(may, side) if side == "a" else meant.join(may, side).filter(f"name_1 >= {SLIP} or name_2 >= {SLIP}")
+        meant = meant.join(names.select(F.col("l").alias(side), F.col("may").alias(f"may_{x}")), side)
+    for x in ("1", "2"):
+        meant = meant.withColumn("m", F.explode(f"may_{x}")).withColumns({f"r{x}": F.col("m.r"), f"name_{x}": F.col("m.agreement")}).drop("m", f"may_{x}")
+    meant = meant.filter(f"name_1 >= {SLIP} or name_2 >= {SLIP}")
     # The key stands for both names, so rows travel with the order of their hashes only.
     light = [c for c in fields if c not in ("a", "b")]
     asked = meant.select(F.struct(*light).alias("l"), (F.col("r1") <= F.col("r2")).alias("l_up"), "name_1", "name_2", key("r1", "r2").alias("key"), "t")
@@ -187,18 +197,51 @@ def candidates(listings: DataFrame, matches: DataFrame, names: DataFrame) -> Dat
     whole = matches.withColumn("n", F.lit(1).cast("long"))
     same = [c for c in fields if c not in ("id", "t")]
     reduced = lambda df: df.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("t", F.lit(None).cast("timestamp"))
-
-    def meet(left: DataFrame, near: Column, right: DataFrame, at: Column) -> DataFrame:
-        return left.withColumn("bucket", F.explode(near)).drop("t").join(right.withColumn("bucket", at).drop("t"), ["key", "bucket"])
-
-    near = F.sequence(bucket(day - REACH_DAYS), bucket(day + REACH_DAYS))
-    timed = asked.filter("t is not null")
-    none = F.lit(0).cast("long")
-    out = meet(timed, near, held(whole.filter("t is not null")), bucket(day))
-    # A listing without a time against all matches, and any timed listing against matches without.
-    out = out.unionByName(meet(asked.filter("t is null"), one, held(reduced(matches)), none))
-    out = out.unionByName(meet(timed, one, held(reduced(matches.filter("t is null"))), none))
-    return out.select("l", "r", "name_1", "name_2", (F.col("l_up") != F.col("r_up")).alias("swap"))
+    # Where a pair of names may meet: within reach in time (kind 0); a listing without a time meets all
+    # matches (kind 1), and any timed listing the matches without (kind 2).
+    place = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("bucket"))
+    timed, untimed, none = F.col("t").isNotNull(), F.col("t").isNull(), F.lit(0)
+    near = F.transform(F.sequence(bucket(day - REACH_DAYS), bucket(day + REACH_DAYS)), lambda b: place(0, b))
+    asked = asked.withColumn("at", F.explode(F.when(untimed, F.array(place(1, none))).otherwise(F.concat(near, F.array(place(2, none))))))
+    right, occurring = None, None
+    for kind, rows, records, at in (
+        (0, matches.filter(timed), whole.filter(timed), bucket(day)),
+        (1, matches, reduced(matches), none),
+        (2, matches.filter(untimed), reduced(matches.filter(untimed)), none),
+    ):
+        own = rows.select(key("a", "b").alias("key"), place(kind, at).alias("at"))
+        occurring = own if occurring is None else occurring.unionByName(own)
+        part = held(records).withColumn("at", place(kind, at)).drop("t")
+        right = part if right is None else right.unionByName(part)
+    spot, bits = F.xxhash64("key", "at.kind", "at.bucket").alias("spot"), map_bits(matches.count())
+    bit_map = cut_lineage(occurring_bits(occurring.select(spot), bits))
+    met = may_occur(asked.drop("t").withColumn("spot", spot), bit_map, bits).join(right, ["key", "at"])
+    return met.select("l", "r", "name_1", "name_2", (F.col("l_up") != F.col("r_up")).alias("swap"))
+
+
+def map_bits(rows: int) -> int:
+    """Bits of a map of so many rows: a power of two, a chunk at least."""
+    return min(MOST_BITS, max(64 * CHUNK_WORDS, 1 << (BITS * rows).bit_length()))
+
+
+def occurring_bits(spots: DataFrame, bits: int) -> DataFrame:
+    """``chunk, words``: a map of ``bits`` bits with those of the hashes ``spot`` set. All words are there,
+    so a word's place in its chunk is its number."""
+    at = spots.select(F.pmod("spot", F.lit(bits)).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("set"))
+    every = spots.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("set"))
+    words = words.unionByName(every).groupBy("word").agg(F.bit_or("set").alias("set"))
+    chunk = F.floor(F.col("word") / CHUNK_WORDS).cast("long")
+    return words.groupBy(chunk.alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "set"))), lambda x: x.set).alias("words"))
+
+
+def may_occur(df: DataFrame, bit_map: DataFrame, bits: int) -> DataFrame:
+    """Rows whose hash ``spot`` is in the map: all that occur, and few others. Rows don't move for it."""
+    at = F.pmod("spot", F.lit(bits))
+    chunk = F.floor(at / (64 * CHUNK_WORDS)).cast("long")
+    near = df.withColumn("chunk", chunk).join(F.broadcast(bit_map), "chunk")  # MOST_BITS bits at most
+    word = F.element_at("words", (F.pmod(F.shiftright(at, 6), F.lit(CHUNK_WORDS)) + 1).cast("int"))
+    return near.filter(F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1).drop("spot", "chunk", "words")
 
 
 def _name_level(x: str, y: str) -> Column:
@@ -312,10 +355,14 @@ def link_records(listings: DataFrame, matches: DataFrame, confidence: float = CO
     cols = ("id", "first", "second", "oriented", "t", "surface", "level")
     listings, matches = listings.select(*cols), matches.select(*cols)
     names, _ = broadcast_if_small(cut_lineage(parsed_names(listings, matches)))
-    left, right = cut_lineage(prepare(listings, names)), cut_lineage(prepare(matches, names))
+    # Tables hold a row in a third of the bytes of a checkpoint.
+    steps, kept = StepTables(listings.sparkSession), StepTables(listings.sparkSession)
+    left, right = steps.cut(prepare(listings, names), keep=True), steps.cut(prepare(matches, names), keep=True)
     used = lambda df: names.join(df.select(F.explode(F.array("a", "b")).alias("form")).distinct(), "form", "left_semi").select("form", "sur", "head", "tail").distinct()
-    forms, _ = broadcast_if_small(cut_lineage(name_pairs(used(left), used(right))))
-    scored = cut_lineage(compare(candidates(left, right, forms)))
+    forms = name_pairs(used(left), used(right)).groupBy("l").agg(F.collect_list(F.struct("r", "agreement")).alias("may"))  # names within two letters of one
+    forms, _ = broadcast_if_small(steps.cut(forms, keep=True))
+    scored = kept.cut(compare(candidates(left, right, forms)), keep=True)
+    steps.close()
     seen = scored.groupBy(*FIELDS).agg(F.count("*").alias("pairs")).collect()
     if not seen:
         return listings.sparkSession.createDataFrame([], "left_id long, right_id long, confidence double")

@@ -2,8 +2,9 @@ import datetime as dt
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from rallygrid.llm.linkage import FIELDS, fit_em, link_records, parse_name
+from rallygrid.llm.linkage import FIELDS, candidates, fit_em, link_records, map_bits, may_occur, name_pairs, occurring_bits, parse_name, parsed_names, prepare
 
 COLS = "id long, first string, second string, oriented boolean, t timestamp, surface string, level string, n int"
 
@@ -58,3 +59,29 @@ def test_links(spark):
     assert len({r.left_id for r in out}) == len(out) and all(0.5 <= r.confidence <= 1 for r in out)
     assert len(got & truth) / len(truth) > 0.95 and len(got & truth) / len(got) > 0.95
     assert link_records(left.limit(0), right).count() == 0 and link_records(left, right.limit(0)).count() == 0
+
+
+def test_pairs_of_names_that_never_met_are_not_shuffled(spark):
+    """A listing of many meanings: the map keeps the pairs that occur, and hardly any other."""
+    rows = 2_000
+    bits = map_bits(rows)
+    spots = spark.range(rows).selectExpr("xxhash64(id) as spot")
+    bit_map = occurring_bits(spots, bits)
+    assert bit_map.selectExpr("explode(words) as w").selectExpr("sum(bit_count(w))").first()[0] <= rows
+    asked = spark.range(100 * rows).selectExpr("id", "xxhash64(id) as spot")
+    kept = {r.id for r in may_occur(asked, bit_map, bits).collect()}
+    assert set(range(rows)) <= kept and len(kept) < 6 * rows
+
+
+def test_listing_and_match_without_time(spark):
+    t = dt.datetime(2020, 5, 5, 12)
+    names = [(f"{c}x {c}orbanu{c}kel", f"{c}y {c}estrilo{c}mat") for c in "bcdfghjklm"]
+    matches = [(i, *n, True, t if i % 3 else None, "Hard", "250", 0) for i, n in enumerate(names)]
+    listings = [(100 + i, *n, True, t if i % 2 else None, "Hard", "250", 0) for i, n in enumerate(names)]
+    left, right = spark.createDataFrame(listings, COLS), spark.createDataFrame(matches, COLS)
+    parsed = parsed_names(left, right)
+    l, r = prepare(left, parsed), prepare(right, parsed)
+    forms = parsed.select("form", "sur", "head", "tail").distinct()
+    meant = name_pairs(forms, forms).groupBy("l").agg(F.collect_list(F.struct("r", "agreement")).alias("may"))
+    got = {(x.i, x.j) for x in candidates(l, r, meant).selectExpr("l.id as i", "r.id as j").collect()}
+    assert got >= {(100 + i, i) for i in range(len(names))}

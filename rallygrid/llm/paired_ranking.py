@@ -8,6 +8,9 @@ distributed table keyed by (scope, item); a product with ``A`` is one join of th
 vector and one aggregation, and only a step's scalars reach the driver. The scopes (say,
 surfaces) are blocks of one system and are solved together, each with steps of its own.
 
+Scopes of up to ``WHOLE`` pairs, 24 bytes each and 40 as they arrive, are solved whole by one task each: every step is a pass
+over arrays there, and none waits for a job. What follows is for larger ones.
+
 The preconditioner is made of diagonal blocks: the items of a scope fall, by hash, into blocks of
 about ``block`` items, and each task solves the system of its block's own edges. The same blocks
 give the start (each fitted alone) and the larger part of the standard errors. A scope of one
@@ -16,16 +19,18 @@ always decides; with more blocks the rounds and steps do the rest.
 
 Standard errors are roots of the diagonal of ``A^-1``: that of the blocks' inverse exactly, plus the
 diagonal of the difference to ``A^-1``, estimated from solves with random signs on the right-hand side.
-With one block the difference is nothing and the errors are exact; with more, they carry noise.
+With one block the difference is nothing and the errors are exact; with more, they carry noise. A scope
+solved whole has exact errors for its connected parts of up to ``block`` items and estimated ones for larger parts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +40,10 @@ RIDGE = 1.0
 PROBES = 16
 #: Items of a block: its dense matrix takes 8 bytes times the square of this, three times over.
 BLOCK = 2_560
+#: Pairs of a scope that one task solves.
+WHOLE = 12_000_000
+#: Pairs of a pass over the arrays, so that what lies between stays in the cache.
+CHUNK = 1 << 17
 #: Largest gradient, over the diagonal of ``A``, at which the reweighting stops.
 TOLERANCE = 1e-6
 #: More rounds or steps than these raise an error; they never end a run in silence.
@@ -64,23 +73,147 @@ def _cdf(x: np.ndarray) -> np.ndarray:
 
 
 def count_pairs(comparisons: DataFrame) -> DataFrame:
-    """Both directions of every compared pair: ``scope, src, dst, n, y`` (share won by src)."""
+    """Every compared pair once: ``scope, a, b, n, won`` (comparisons, and how many of them ``a`` won)."""
     clean = comparisons.filter("scope is not null and winner is not null and loser is not null and winner <> loser")
     won = F.col("winner") < F.col("loser")
-    pairs = clean.groupBy(
-        "scope", F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")
-    ).agg(F.count("*").cast("double").alias("n"), F.avg(won.cast("double")).alias("y"))
+    return clean.groupBy("scope", F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")).agg(
+        F.count("*").alias("n"), F.sum(won.cast("long")).alias("won")
+    )
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Both directions of every compared pair: ``scope, src, dst, n, y`` (share won by src)."""
+    n, y = F.col("n").cast("double").alias("n"), F.col("won") / F.col("n")
     return pairs.select(
         "scope",
         F.explode(
             F.array(
-                F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "n", "y"),
-                F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "n", (1 - F.col("y")).alias("y")),
+                F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), n, y.alias("y")),
+                F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), n, (1 - y).alias("y")),
             )
         ).alias("e"),
     ).select("scope", "e.*")
 
 
+class _Whole:
+    """The system of a whole scope: pairs ``a, b`` of numbered items."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, size: int) -> None:
+        self.a, self.b, self.size, self.w = a, b, size, np.empty(len(a))
+        self.chunks = [slice(k, k + CHUNK) for k in range(0, len(a), CHUNK)]
+
+    def weigh(self, n: np.ndarray, won: np.ndarray, s: np.ndarray, ridge: float) -> np.ndarray:
+        """Sets the weights at the strengths ``s``; the gradient."""
+        diag, g = np.full(self.size, ridge), -ridge * s
+        for c in self.chunks:
+            a, b = self.a[c], self.b[c]
+            eta = np.clip(s[a] - s[b], -8, 8)
+            p = np.clip(_cdf(eta), 1e-12, 1 - 1e-12)
+            phi = np.exp(-0.5 * eta * eta) / math.sqrt(2 * math.pi)
+            w, u = n[c] * phi * phi / (p * (1 - p)), phi * (won[c] - n[c] * p) / (p * (1 - p))
+            self.w[c] = w
+            diag += np.bincount(a, w, self.size) + np.bincount(b, w, self.size)
+            g += np.bincount(a, u, self.size) - np.bincount(b, u, self.size)
+        self.diag = diag
+        return g
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        out = self.diag * v
+        for c in self.chunks:
+            a, b, w = self.a[c], self.b[c], self.w[c]
+            out -= np.bincount(a, w * v[b], self.size) + np.bincount(b, w * v[a], self.size)
+        return out
+
+    def solve(self, b: np.ndarray, forcing: float) -> np.ndarray:
+        """Conjugate gradients, until the residual is down by ``forcing``."""
+        x = np.zeros_like(b)
+        r, z = b, b / self.diag
+        p, rz = z, float(b @ z)
+        goal = max(rz * forcing**2, 1e-300)
+        for _ in range(20 * self.size + 100):
+            if rz <= goal:
+                return x
+            ap = self.times(p)
+            step = rz / float(p @ ap)
+            x, r = x + step * p, r - step * ap
+            z = r / self.diag
+            after = float(r @ z)
+            p, rz = z + after / rz * p, after
+        raise RuntimeError("conjugate gradients did not converge in a scope solved whole")
+
+    def parts(self) -> np.ndarray:
+        """The number of its connected part for each item."""
+        label = np.arange(self.size)
+        while True:
+            low = np.minimum(label[self.a], label[self.b])
+            new = label.copy()
+            np.minimum.at(new, self.a, low)
+            np.minimum.at(new, self.b, low)
+            new = new[new]
+            if (new == label).all():
+                return np.unique(label, return_inverse=True)[1]
+            label = new
+
+    def variances(self, ridge: float, probes: int, block: int) -> np.ndarray:
+        """The diagonal of the inverse: by part, with the dense inverse up to ``block`` items, else estimated
+        with random signs, the part's constant vector (eigenvalue ``ridge``) taken out and added exactly."""
+        part = self.parts()
+        sizes = np.bincount(part)
+        out = np.zeros(self.size)
+        if (large := sizes[part] > block).any():
+            rng = np.random.default_rng(7)
+            for _ in range(probes):
+                signs = np.where(large, rng.choice((-1.0, 1.0), self.size), 0.0)
+                out += signs * self.solve(signs - (np.bincount(part, signs) / sizes)[part], 0.001)
+            out = np.clip(out / probes + 1 / (ridge * sizes[part]), 1 / self.diag, 1 / ridge)
+        order = np.argsort(part, kind="stable")
+        ends, place = np.cumsum(sizes), np.empty(self.size, np.int64)
+        place[order] = np.arange(self.size) - np.repeat(ends - sizes, sizes)
+        of_pair = part[self.a]
+        by_part = np.argsort(of_pair, kind="stable")
+        pair_ends = np.cumsum(np.bincount(of_pair, minlength=len(sizes)))
+        for k in np.flatnonzero(sizes <= block):
+            own = order[ends[k] - sizes[k] : ends[k]]
+            at = by_part[(pair_ends[k - 1] if k else 0) : pair_ends[k]]
+            m = np.diag(self.diag[own])
+            i, j = place[self.a[at]], place[self.b[at]]
+            m[i, j], m[j, i] = -self.w[at], -self.w[at]  # a pair has one row
+            out[own] = np.diag(np.linalg.inv(m))
+        return out
+
+
+def _fit_whole(ridge: float, probes: int, block: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, scope = {c: [] for c in ("a", "b", "n", "won")}, None
+        for x in batches:
+            scope = x["scope"][0].as_py() if x.num_rows else scope
+            for c, own in kept.items():
+                v = x[c].to_numpy()
+                own.append(v.astype(np.int32) if c in ("n", "won") and v.max(initial=0) < 1 << 31 else v)
+        a, b, n, won = (np.concatenate(kept.pop(c)) for c in ("a", "b", "n", "won"))
+        ids = np.union1d(np.unique(a), np.unique(b))
+        a = np.searchsorted(ids, a).astype(np.int32)
+        b = np.searchsorted(ids, b).astype(np.int32)
+        system = _Whole(a, b, len(ids))
+        s = np.zeros(len(ids))
+        for _ in range(MAX_ROUNDS):
+            g = system.weigh(n, won, s, ridge)
+            off = np.abs(g / system.diag).max()
+            if off < 0.01 * TOLERANCE:
+                break
+            s = s + system.solve(g, 0.1 if off > 0.1 else 0.01)
+        else:
+            raise RuntimeError(f"strengths did not converge in {MAX_ROUNDS} rounds")
+        count = lambda i, v: np.bincount(i, v, len(ids))
+        out = {
+            "scope": pa.array([scope] * len(ids), pa.string()), "id": ids, "strength": s, "std_error": np.sqrt(system.variances(ridge, probes, block)),
+            "n_comparisons": (count(system.a, n) + count(system.b, n)).astype(np.int64), "n_won": (count(system.a, won) + count(system.b, n - won)).astype(np.int64),
+        }
+        yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
 def _weigh(edges: DataFrame, strengths: DataFrame) -> DataFrame:
     """Edges with the weight ``w`` and the pull ``u`` on ``src`` at the given strengths."""
     at = strengths.select("scope", "item", "s")
@@ -254,7 +387,7 @@ class _Solver:
         raise RuntimeError(f"conjugate gradients did not converge in {MAX_STEPS} steps")
 
 
-def probit_ranking(comparisons: DataFrame, ridge: float = RIDGE, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def probit_ranking(comparisons: DataFrame, ridge: float = RIDGE, probes: int = PROBES, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
     """``scope, item, strength, std_error, n_comparisons long, n_won long, place int``.
 
     ``comparisons``: ``scope, winner, loser``, one row per comparison (a comparison that counts
@@ -266,8 +399,33 @@ def probit_ranking(comparisons: DataFrame, ridge: float = RIDGE, probes: int = P
     several blocks carry the noise of ``probes`` random solves.
     """
     spark = comparisons.sparkSession
-    kept, rounds = StepTables(spark), StepTables(spark)
+    kept = StepTables(spark)
     pairs = kept.cut(count_pairs(comparisons), keep=True)
+    sides = pairs.select("scope", F.explode(F.array("a", "b")).alias("item")).distinct()
+    items = kept.cut(sides.withColumn("id", F.xxhash64("item")), keep=True)
+    few = {r["scope"] for r in pairs.groupBy("scope").count().collect() if r["count"] <= whole}  # a row per scope
+    # Items travel as hashes; a scope in which two have the same one is left to the blocks.
+    few -= {r["scope"] for r in items.groupBy("scope", "id").count().filter("count > 1").select("scope").distinct().collect()}
+    own = F.col("scope").isin(*sorted(few))
+    out = None
+    if few:
+        hashed = pairs.filter(own).select("scope", F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "n", "won")
+        schema = "scope string, id long, strength double, std_error double, n_comparisons long, n_won long"
+        fitted = kept.cut(hashed.groupBy("scope").applyInArrow(_fit_whole(ridge, probes, block), schema), keep=True)
+        out = items.join(fitted, ["scope", "id"]).drop("id")
+    rest = pairs.filter(~own)
+    if not few or not rest.isEmpty():
+        blocks = _in_steps(kept, _both_ways(rest), ridge, probes, block)
+        out = blocks if out is None else out.unionByName(blocks)
+    out = _placed(out)
+    kept.close()
+    return out
+
+
+def _in_steps(kept: StepTables, pairs: DataFrame, ridge: float, probes: int, block: int) -> DataFrame:
+    """Strengths and errors of scopes of any size, in rounds and steps over distributed vectors; ``pairs``: see ``_both_ways``."""
+    spark = pairs.sparkSession
+    rounds, pairs = StepTables(spark), kept.cut(pairs, keep=True)
     items = pairs.groupBy("scope", F.col("src").alias("item")).agg(
         F.sum("n").cast("long").alias("n_comparisons"), F.round(F.sum(F.col("n") * F.col("y"))).cast("long").alias("n_won")
     )
@@ -317,8 +475,8 @@ def probit_ranking(comparisons: DataFrame, ridge: float = RIDGE, probes: int = P
         .join(both.select("scope", "item", F.sqrt(variance).alias("std_error")), ["scope", "item"])
         .select("scope", "item", F.col("s").alias("strength"), "std_error", "n_comparisons", "n_won")
     )
-    out = _placed(out)
-    for tables in (steps, rounds, kept):
+    out = kept.cut(out, keep=True)
+    for tables in (steps, rounds):
         tables.close()
     return out
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from rallygrid.llm import paired_ranking
 from rallygrid.llm.paired_ranking import normal_cdf, probit_ranking
 
 CDF = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)))
@@ -74,3 +75,41 @@ def test_many_blocks(spark):
 
 def test_empty(spark):
     assert probit_ranking(spark.createDataFrame([], "scope string, winner string, loser string")).count() == 0
+
+
+def _games(items, n, seed):
+    rng = random.Random(seed)
+    skill = {f"p{i}": rng.gauss(0, 0.7) for i in range(items)}
+    rows = []
+    for _ in range(n):
+        a, b = rng.sample(sorted(skill), 2)
+        rows.append(("all", a, b) if rng.random() < CDF(skill[a] - skill[b]) else ("all", b, a))
+    return rows
+
+
+def test_scopes_of_many_blocks_are_solved_whole(spark, monkeypatch):
+    """Without a job for each step; errors of parts over a block are estimated, of others exact."""
+    def steps(*_):
+        raise AssertionError("a scope that one task can hold went through distributed steps")
+
+    monkeypatch.setattr(paired_ranking, "_Solver", steps)
+    rows = _games(60, 3000, 4) + [("all", "q1", "q2")] * 40
+    want = dense([(w, l) for _, w, l in rows])
+    got = {r.item: r for r in probit_ranking(spark.createDataFrame(rows, "scope string, winner string, loser string"), block=19).collect()}
+    assert set(got) == set(want)
+    for item, (s, e) in want.items():
+        assert abs(got[item].strength - s) < 1e-5
+        assert abs(got[item].std_error / e - 1) < (1e-5 if item[0] == "q" else 0.2)
+        assert got[item].n_won == sum(w == item for _, w, _ in rows) and got[item].n_comparisons == sum(item in r[1:] for r in rows)
+
+
+def test_larger_scopes_go_in_steps(spark):
+    """One scope over the limit and one under it, in one table."""
+    rows = _games(36, 900, 3) + [("small", "x", "y"), ("small", "y", "z"), ("small", "x", "z")]
+    got = {(r.scope, r.item): r for r in probit_ranking(spark.createDataFrame(rows, "scope string, winner string, loser string"), block=19, whole=3).collect()}
+    for scope in ("all", "small"):
+        want = dense([(w, l) for s, w, l in rows if s == scope])
+        for item, (s, e) in want.items():
+            assert abs(got[scope, item].strength - s) < 1e-5
+            assert abs(got[scope, item].std_error / e - 1) < 0.2
+    assert len(got) == 39

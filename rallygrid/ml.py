@@ -7,13 +7,14 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rallygrid.boosting import BoostedTrees
 from rallygrid.operators.evaluate import auc, probability_scores
 
 
@@ -49,7 +50,7 @@ def boosted_trees(features: Sequence[str], trees: int = 300, depth: int = 4, ste
     return Pipeline(
         stages=[
             *_prepared(features),
-            GBTClassifier(
+            BoostedTrees(
                 featuresCol="features_raw", labelCol="target", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, checkpointInterval=20
             ),
         ]

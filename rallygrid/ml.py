@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -14,8 +15,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallygrid.boosting import BoostedTrees
+from rallygrid.boosting import BoostedTrees, forward_scores
 from rallygrid.operators.evaluate import auc, probability_scores
+from rallygrid.session import cut_lineage
 
 
 def _prepared(features: Sequence[str]) -> list:
@@ -99,16 +101,22 @@ def walk_forward(df: DataFrame, year: str, years: Sequence[int], features: Seque
     """Train on the years before, test on the year; one row of metrics per year. With the columns
     ``profit`` (of a unit stake) and ``market`` (its probability), also the number and mean profit of
     the bets whose probability exceeds the market's by more than ``edge``."""
-    out = None
-    fitted = fit_all([(make(features), df.filter(F.col(year) < y)) for y in years])
-    for y, model in zip(years, fitted):
-        scored = score(model, df.filter(F.col(year) == y)).withColumn("test_year", F.lit(y))
-        part = probability_scores(scored, "target", "p", ["test_year"]).join(auc(scored, "target", "p", ["test_year"]), "test_year")
-        if profit and market:
-            taken = F.col("p") - F.col(market) > edge
-            bet = scored.groupBy("test_year").agg(F.count(F.when(taken, 1)).alias("bets"), F.avg(F.when(taken, F.col(profit))).alias("roi"))
-            part = part.join(bet, "test_year")
-        out = part if out is None else out.unionByName(part)
+    pipelines = [make(features) for _ in years]
+    trees = [p.getStages()[-1] for p in pipelines]
+    kept = list(dict.fromkeys(["target", *([profit, market] if profit and market else [])]))
+    parts = forward_scores(df, year, years, features, trees, kept) if all(isinstance(t, BoostedTrees) for t in trees) else None
+    if parts is None:
+        fitted = fit_all([(p, df.filter(F.col(year) < y)) for p, y in zip(pipelines, years)])
+        parts = [score(model, df.filter(F.col(year) == y)).select(*kept, "p", F.lit(y).alias("test_year")) for y, model in zip(years, fitted)]
+    # Written once, as the metrics read them several times; a job a year, since a union of frames of one partition is one task.
+    with ThreadPool(len(parts)) as pool:
+        written = pool.map(inheritable_thread_target(df.sparkSession)(cut_lineage), parts)
+    scored = reduce(DataFrame.unionByName, written)
+    out = probability_scores(scored, "target", "p", ["test_year"]).join(auc(scored, "target", "p", ["test_year"]), "test_year")
+    if profit and market:
+        taken = F.col("p") - F.col(market) > edge
+        bet = scored.groupBy("test_year").agg(F.count(F.when(taken, 1)).alias("bets"), F.avg(F.when(taken, F.col(profit))).alias("roi"))
+        out = out.join(bet, "test_year")
     return out
 
 

@@ -67,7 +67,8 @@ def bets(spark: SparkSession, d: str) -> DataFrame:
         " and loser_surface_elo_before is not null and match_date is not null"
     )
     match = ["match_date", "winner_id", "loser_id"]
-    last = F.max_by(F.struct(*[c for c in known.columns if c not in match]), F.struct("recorded_at", "history_id"))
+    used = ["history_id", "surface", *[f"{w}_{c}" for w in ("winner", "loser") for c in ("elo_before", "surface_elo_before", "days_inactive", "surface_days_inactive")]]
+    last = F.max_by(F.struct(*used), F.struct("recorded_at", "history_id"))
     rated = known.groupBy(*match).agg(last.alias("_row")).select(*match, "_row.*")
     w, l = "winner", "loser"
     side = lambda a, b, t: {

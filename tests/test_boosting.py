@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 
-from rallygrid import boosting
+from rallygrid import boosting, ml
 from rallygrid.ml import score
 from rallygrid.operators.evaluate import auc
+from rallygrid.session import cut_lineage
 
 NAMES = ["a", "b", "c"]
 
@@ -45,3 +47,69 @@ def test_larger_frames_are_fitted_by_jobs(spark, monkeypatch):
     few = auc(score(model.fit(df), df), "target", "p").first()[0]
     monkeypatch.setattr(boosting, "TASK_CELLS", 100)
     assert abs(auc(score(model.fit(df), df), "target", "p").first()[0] - few) < 0.05
+
+
+def test_the_whole_grid_gives_the_trees_of_its_cells():
+    rng = np.random.default_rng(3)
+    for sizes in ([5, 4, 6], [3, 7], [4, 1, 3, 5], [9]):
+        codes = list(np.unique(np.stack([rng.integers(0, s, 60) for s in sizes]), axis=1))
+        ones, zeros = (rng.integers(0, 9, len(codes[0])).astype(float) for _ in range(2))
+        ones += zeros + ones == 0  # no cell is empty
+        for sample in (1.0, 0.8):
+            how = (sizes, ones, zeros, 15, 4, 0.1, sample, max(1, len(sizes) - 1), 7)
+            cells = boosting.grow(codes, *how)
+            grid, margins = boosting.grow_grid(codes, *how)
+            assert [n[:4] for n in grid] == [n[:4] for n in cells]
+            assert np.allclose([n[4:] for n in grid], [n[4:] for n in cells])
+            assert np.allclose(boosting.margins_of(cells, codes, 15, 4, 0.1), margins[np.ravel_multi_index(codes, sizes)])
+
+
+def _years(spark):
+    rows = _rows(spark).selectExpr("id", "a", "round(b, 1) b", "if(id % 9 = 0, null, round(c)) c", "target", "2018 + pmod(hash(id), 5) year", "target - 0.5 profit", "0.4D market")
+    return cut_lineage(rows)
+
+
+def _walk(df, **kw):
+    make = lambda features: ml.boosted_trees(features, trees=6)
+    return sorted(map(tuple, ml.walk_forward(df, "year", (2020, 2021, 2022), NAMES, make, "profit", "market", **kw).collect()))
+
+
+def test_a_year_is_trained_and_scored_in_one_task_as_by_models(spark, monkeypatch):
+    df = _years(spark)
+    spark.sparkContext.setJobGroup("walk", "")
+    own = _walk(df)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("walk"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs <= 25  # not a scoring of all trees for each metric, and no fit of medians
+    monkeypatch.setattr(ml, "forward_scores", lambda *a: None)
+    models = _walk(df)
+    assert [r[0] for r in own] == [2020, 2021, 2022] and all(r[1] > 300 and r[6] > 0 for r in own)
+    assert np.allclose(own, models, rtol=1e-9)
+
+
+def test_many_rows_in_few_bins_are_trained_on_the_grid(spark, monkeypatch):
+    df, seen, real = _years(spark).withColumns({"a": ml.F.expr("round(a)"), "b": ml.F.expr("round(b)")}), [], boosting.grow_grid
+    whole = _walk(df)
+    # In the driver, as the tasks' calls can't be seen here.
+    monkeypatch.setattr(boosting, "grow_grid", lambda *a: seen.append(1) or real(*a))
+    rows = df.filter("year < 2021 and c is not null").toPandas()
+    columns = [rows[f].to_numpy() for f in NAMES]
+    how = (32, 6, 4, 0.05, 0.8, 3, 42)
+    grown = boosting.Grown(iter(columns), rows["target"].to_numpy(), *how)
+    assert seen
+    p = boosting.margins_of(grown.nodes, [np.searchsorted(b, c) for b, c in zip(grown.borders, columns)], 6, 4, 0.05)
+    assert np.allclose(grown.probabilities(columns), 1 / (1 + np.exp(-2 * p)))
+    monkeypatch.setattr(ml, "forward_scores", lambda *a: None)
+    assert np.allclose(whole, _walk(df), rtol=1e-9)
+
+
+def test_years_that_no_task_can_train_go_by_models(spark, monkeypatch):
+    df = _years(spark)
+    trees = [ml.boosted_trees(NAMES).getStages()[-1]] * 2
+    kept = ["target"]
+    assert len(boosting.forward_scores(df, "year", (2020, 2021), NAMES, trees, kept)) == 2
+    assert boosting.forward_scores(df, "year", (2018, 2021), NAMES, trees, kept) is None  # none before
+    odd = df.withColumn("target", ml.F.expr("if(id = 5, 2, target)"))
+    assert boosting.forward_scores(odd.withColumn("year", ml.F.lit(2019)), "year", (2020, 2021), NAMES, trees, kept) is None
+    monkeypatch.setattr(boosting, "TASK_CELLS", 100)
+    assert boosting.forward_scores(df, "year", (2020, 2021), NAMES, trees, kept) is None

@@ -5,7 +5,7 @@ that hold every pair within the tolerated misspellings (pieces of the name by th
 principle, in several passes for edits, cut names and the halves of double names) propose
 the pairs, and their level of agreement is kept in a table. One name of a pair of records may be two
 letters off, the other a single slip. A listing then stands for the pairs of
-right-hand names that its two names may mean, and meets the records of such a pair of names within a
+right-hand names that its two names may mean, paired over arrays, and meets the records of such a pair of names within a
 time bucket: equality of hashes, so blocks are as small as the matches of two players in two
 weeks. Most of these pairs never met in that bucket, and their number grows with the square of the
 names alike: they are dropped where they arise, by a bit map of the (pair, bucket) that occur, so what
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,50 +174,111 @@ def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def candidates(listings: DataFrame, matches: DataFrame, names: DataFrame) -> DataFrame:
-    """Blocked pairs ``l, r`` (records), with the agreement of both names and whether the match has
-    them the other way round; ``r.n`` counts the matches it stands for. ``names``: ``l, may``, the pairs of
-    ``name_pairs`` by left name."""
+    """Blocked pairs ``l, r`` (records), once each, with the agreement of both names if the match has them the same way
+    round (``names_same``) and the other way round (``names_swap``), null where they don't agree;
+    ``r.n`` counts the matches it stands for. ``names``: ``l, may``, the pairs of ``name_pairs`` by left name."""
     day = F.floor(F.unix_seconds("t") / 86400)
     bucket = lambda d: F.floor(d / BUCKET_DAYS)
     fields = ("id", "a", "a_ini", "b", "b_ini", "oriented", "t", "surface", "level")
-    key = lambda x, y: F.xxhash64(F.least(x, y), F.greatest(x, y))
-    # Meanings travel as lists and are paired at the end, should the names be too many to broadcast.
+    # Meanings travel as lists and are paired over arrays, should the names be too many to broadcast.
     meant = listings
     for side, x in (("a", "1"), ("b", "2")):
-        meant = meant.join(names.select(F.col("l").alias(side), F.col("may").alias(f"may_{x}")), side)
-    for x in ("1", "2"):
-        meant = meant.withColumn("m", F.explode(f"may_{x}")).withColumns({f"r{x}": F.col("m.r"), f"name_{x}": F.col("m.agreement")}).drop("m", f"may_{x}")
-    meant = meant.filter(f"name_1 >= {SLIP} or name_2 >= {SLIP}")
+        meant = meant.join(names.select(F.col("l").alias(side), F.col("may.r").alias(f"form_{x}"), F.col("may.agreement").cast("array<tinyint>").alias(f"level_{x}")), side)
     # The key stands for both names, so rows travel with the order of their hashes only.
     light = [c for c in fields if c not in ("a", "b")]
-    asked = meant.select(F.struct(*light).alias("l"), (F.col("r1") <= F.col("r2")).alias("l_up"), "name_1", "name_2", key("r1", "r2").alias("key"), "t")
 
     def held(df: DataFrame) -> DataFrame:
-        return df.select(F.struct(*light, "n").alias("r"), (F.col("a") <= F.col("b")).alias("r_up"), key("a", "b").alias("key"), "t")
+        return df.select(F.struct(*light, "n").alias("r"), (F.col("a") <= F.col("b")).alias("r_up"), _pair_key("a", "b").alias("key"), "t")
 
     whole = matches.withColumn("n", F.lit(1).cast("long"))
     same = [c for c in fields if c not in ("id", "t")]
     reduced = lambda df: df.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("t", F.lit(None).cast("timestamp"))
     # Where a pair of names may meet: within reach in time (kind 0); a listing without a time meets all
     # matches (kind 1), and any timed listing the matches without (kind 2).
-    place = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("bucket"))
+    place = lambda kind, at: F.xxhash64(F.lit(kind), at.cast("long"))
     timed, untimed, none = F.col("t").isNotNull(), F.col("t").isNull(), F.lit(0)
     near = F.transform(F.sequence(bucket(day - REACH_DAYS), bucket(day + REACH_DAYS)), lambda b: place(0, b))
-    asked = asked.withColumn("at", F.explode(F.when(untimed, F.array(place(1, none))).otherwise(F.concat(near, F.array(place(2, none))))))
+    places = F.when(untimed, F.array(place(1, none))).otherwise(F.concat(near, F.array(place(2, none))))
     right, occurring = None, None
     for kind, rows, records, at in (
         (0, matches.filter(timed), whole.filter(timed), bucket(day)),
         (1, matches, reduced(matches), none),
         (2, matches.filter(untimed), reduced(matches.filter(untimed)), none),
     ):
-        own = rows.select(key("a", "b").alias("key"), place(kind, at).alias("at"))
+        own = rows.select(_pair_key("a", "b").bitwiseXOR(place(kind, at)).alias("spot"))
         occurring = own if occurring is None else occurring.unionByName(own)
-        part = held(records).withColumn("at", place(kind, at)).drop("t")
+        part = held(records).select("r", "r_up", F.col("key").bitwiseXOR(place(kind, at)).alias("spot"), "key")
         right = part if right is None else right.unionByName(part)
-    spot, bits = F.xxhash64("key", "at.kind", "at.bucket").alias("spot"), map_bits(matches.count())
-    bit_map = cut_lineage(occurring_bits(occurring.select(spot), bits))
-    met = may_occur(asked.drop("t").withColumn("spot", spot), bit_map, bits).join(right, ["key", "at"])
-    return met.select("l", "r", "name_1", "name_2", (F.col("l_up") != F.col("r_up")).alias("swap"))
+    bits = map_bits(matches.count())
+    sc = matches.sparkSession.sparkContext
+    bit_map = sc.broadcast(np.concatenate([np.zeros(0, np.int64), *[np.array(r.words, np.int64) for r in occurring_bits(occurring, bits).orderBy("chunk").toLocalIterator()]]))  # MOST_BITS bits at most
+    asked = meant.select(*light, "form_1", "level_1", "form_2", "level_2", places.alias("places"))
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in light], "key long, spot long, up tinyint, down tinyint"])
+    asked = asked.mapInArrow(_meetings(bit_map, light), schema).select(F.struct(*light).alias("l"), "key", "spot", "up", "down")
+    met = asked.join(right, ["spot", "key"])
+    side = lambda c: F.when(F.col(c) >= 0, F.struct(F.shiftright(c, 2).alias("name_1"), F.col(c).bitwiseAND(F.lit(3)).alias("name_2")))
+    up, down = side("up"), side("down")
+    return met.select("l", "r", F.when(F.col("r_up"), up).otherwise(down).alias("names_same"), F.when(F.col("r_up"), down).otherwise(up).alias("names_swap"))
+
+
+def _pair_key(x: str, y: str) -> Column:
+    """Of two forms, whichever is first: hashes themselves, so their difference in bits is one."""
+    return F.when(F.col(x) == F.col(y), F.col(x)).otherwise(F.col(x).bitwiseXOR(F.col(y)))
+
+
+#: Pairs of meanings held at once, as long as one listing has no more.
+PAIRS_HELD = 500_000
+
+
+def _meetings(bit_map, light: list[str]):
+    """Listings with the pairs of names they may mean -> ``*light, key, spot, up, down``: a row per listing, pair of
+    names and place that may occur; ``up``/``down`` hold the agreement of both names (4 x first + second) if the first
+    has the smaller or equal hash / the greater one, -1 where they don't agree so."""
+
+    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return column.offsets.to_numpy(zero_copy_only=False).astype(np.int64), column.values.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bit_map.value
+        bits = np.int64(64 * len(words))
+        for batch in batches:
+            (o1, r1), (o2, r2), (op, place) = (lists(batch[c]) for c in ("form_1", "form_2", "places"))
+            n1, n2 = lists(batch["level_1"])[1], lists(batch["level_2"])[1]
+            k1, k2 = np.diff(o1), np.diff(o2)
+            upto = np.concatenate([[0], np.cumsum(k1 * k2)])
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(upto, upto[start] + PAIRS_HELD, "right")) - 1)
+                row = np.repeat(np.arange(start, end), (k1 * k2)[start:end])
+                at = np.arange(len(row)) + upto[start] - upto[row]
+                i, j = np.divmod(at, k2[row])
+                i, j = i + o1[row], j + o2[row]
+                keep = np.flatnonzero((n1[i] >= SLIP) | (n2[j] >= SLIP))
+                row, i, j = row[keep], i[keep], j[keep]
+                key = np.where(r1[i] == r2[j], r1[i], r1[i] ^ r2[j])
+                found = []
+                for p in range(int(np.diff(op)[start:end].max())):
+                    there = slice(None) if np.diff(op)[start:end].min() > p else np.flatnonzero(op[row] + p < op[row + 1])
+                    spot = key[there] ^ place[op[row[there]] + p]
+                    bit = spot & (bits - 1)
+                    hit = np.flatnonzero((words[bit >> 6] >> (bit & 63)) & 1)
+                    found.append(((hit if isinstance(there, slice) else there[hit]), spot[hit]))
+                hit, spot = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                row, i, j, key = row[hit], i[hit], j[hit], key[hit]
+                order = np.lexsort((spot, key, row))
+                row, i, j, key, spot = row[order], i[order], j[order], key[order], spot[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (spot[1:] != spot[:-1])])) if len(row) else np.zeros(0, np.int64)
+                group = np.cumsum(np.bincount(first, minlength=len(row))) - 1
+                both = (4 * n1[i] + n2[j]).astype(np.int8)
+                up, down = np.full(len(first), -1, np.int8), np.full(len(first), -1, np.int8)
+                rising = r1[i] <= r2[j]
+                up[group[rising]], down[group[~rising]] = both[rising], both[~rising]
+                taken = batch.select(light).take(pa.array(row[first]))
+                yield pa.RecordBatch.from_arrays([*taken.columns, *[pa.array(x) for x in (key[first], spot[first], up, down)]], names=[*light, "key", "spot", "up", "down"])
+                start = end
+
+    return run
 
 
 def map_bits(rows: int) -> int:
@@ -293,23 +355,25 @@ def compare(pairs: DataFrame) -> DataFrame:
             .when(F.abs(hours) <= 72, 3).when(F.abs(hours) <= 144, 2).otherwise(1)
         )
     )
-    other = lambda x, y: F.when(c("swap"), c(f"r.{y}_ini")).otherwise(c(f"r.{x}_ini"))
-    levels = {
-        "name_1": c("name_1"),
-        "initial_1": _agreement(c("l.a_ini"), other("a", "b")),
-        "name_2": c("name_2"),
-        "initial_2": _agreement(c("l.b_ini"), other("b", "a")),
-        "order": F.when(~(c("l.oriented") & c("r.oriented")), 1).when(c("swap"), 0).otherwise(2),
-        "time": time,
-        "surface": _agreement(c("l.surface"), c("r.surface")),
-        "level": _agreement(c("l.level"), c("r.level")),
-    }
-    rows = pairs.select(
-        c("l.id").alias("left_id"), c("r.id").alias("right_id"), c("r.n").alias("n"), F.abs(hours).alias("gap"),
-        F.struct(*[v.cast("tinyint").alias(k) for k, v in levels.items()]).alias("v"),
-    )
-    best = F.max_by("v", F.struct(c("v.name_1") + c("v.name_2"), c("v.order")))
-    return rows.groupBy("left_id", "right_id").agg(F.first("n").alias("n"), F.first("gap").alias("gap"), best.alias("v")).select("left_id", "right_id", "n", "gap", "v.*")
+    def turned(names: str, swap: bool) -> Column:
+        x, y = ("b", "a") if swap else ("a", "b")
+        levels = {
+            "name_1": c(f"{names}.name_1"),
+            "initial_1": _agreement(c("l.a_ini"), c(f"r.{x}_ini")),
+            "name_2": c(f"{names}.name_2"),
+            "initial_2": _agreement(c("l.b_ini"), c(f"r.{y}_ini")),
+            "order": F.when(~(c("l.oriented") & c("r.oriented")), 1).otherwise(0 if swap else 2),
+            "time": time,
+            "surface": _agreement(c("l.surface"), c("r.surface")),
+            "level": _agreement(c("l.level"), c("r.level")),
+        }
+        return F.struct(*[v.cast("tinyint").alias(k) for k, v in levels.items()])
+
+    sum_of = lambda n: c(f"{n}.name_1") + c(f"{n}.name_2")
+    swap = c("names_same").isNull() | F.coalesce(sum_of("names_swap") > sum_of("names_same"), F.lit(False))
+    best = F.when(swap, turned("names_swap", True)).otherwise(turned("names_same", False))
+    rows = pairs.select(c("l.id").alias("left_id"), c("r.id").alias("right_id"), c("r.n").alias("n"), F.abs(hours).alias("gap"), best.alias("v"))
+    return rows.select("left_id", "right_id", "n", "gap", "v.*")
 
 
 def fit_em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 2_000) -> tuple[float, list[np.ndarray]]:

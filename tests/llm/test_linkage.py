@@ -85,3 +85,21 @@ def test_listing_and_match_without_time(spark):
     meant = name_pairs(forms, forms).groupBy("l").agg(F.collect_list(F.struct("r", "agreement")).alias("may"))
     got = {(x.i, x.j) for x in candidates(l, r, meant).selectExpr("l.id as i", "r.id as j").collect()}
     assert got >= {(100 + i, i) for i in range(len(names))}
+
+
+def test_names_alike_meet_once_and_are_paired_in_pieces(spark, monkeypatch):
+    """Names that agree both ways round make one pair of records; meanings are paired over arrays of bounded size."""
+    from rallygrid.llm import linkage
+
+    t = dt.datetime(2020, 5, 5, 12)
+    names = [f"morbanuke{c}" for c in "lmnprt"]
+    rows = [(i, names[i % 6], names[(i + 1 + i // 6) % 6], True, t + dt.timedelta(days=i % 3), "Hard", "250", 0) for i in range(18)]
+    df = spark.createDataFrame(rows, COLS)
+    parsed = parsed_names(df)
+    records, forms = prepare(df, parsed), parsed.select("form", "sur", "head", "tail").distinct()
+    meant = name_pairs(forms, forms).groupBy("l").agg(F.collect_list(F.struct("r", "agreement")).alias("may"))
+    assert candidates(records, records, meant).count() == 18 * 18
+    whole = sorted(map(str, linkage.compare(candidates(records, records, meant)).collect()))
+    assert len(whole) == 18 * 18  # all names are a slip apart
+    monkeypatch.setattr(linkage, "PAIRS_HELD", 40)
+    assert sorted(map(str, linkage.compare(candidates(records, records, meant)).collect())) == whole

@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallygrid.boosting import BoostedTrees, forward_scores
+from rallygrid.boosting import BoostedTrees, forward_scores, set_scores
 from rallygrid.operators.evaluate import auc, probability_scores
 from rallygrid.session import cut_lineage
 
@@ -122,13 +122,18 @@ def walk_forward(df: DataFrame, year: str, years: Sequence[int], features: Seque
 
 def ablation(train: DataFrame, test: DataFrame, sets: dict[str, Sequence[str]], make=logistic) -> DataFrame:
     """Metrics of the same model on named feature sets."""
-    out = None
-    fitted = fit_all([(make(features), train) for features in sets.values()])
-    for name, model in zip(sets, fitted):
-        scored = score(model, test).withColumn("feature_set", F.lit(name))
-        part = probability_scores(scored, "target", "p", ["feature_set"]).join(auc(scored, "target", "p", ["feature_set"]), "feature_set")
-        out = part if out is None else out.unionByName(part)
-    return out
+    pipelines = {name: make(features) for name, features in sets.items()}
+    trees = {name: p.getStages()[-1] for name, p in pipelines.items()}
+    parts = set_scores(train, test, sets, trees) if all(isinstance(t, BoostedTrees) for t in trees.values()) else None
+    if parts is None:
+        fitted = fit_all([(p, train) for p in pipelines.values()])
+        parts = {name: score(model, test).select(F.col("target").cast("double").alias("target"), "p") for name, model in zip(sets, fitted)}
+    # The largest first, as they take longest.
+    ordered = sorted(sets, key=lambda name: -len(sets[name]))
+    with ThreadPool(len(ordered)) as pool:
+        written = pool.map(inheritable_thread_target(train.sparkSession)(lambda name: cut_lineage(parts[name].withColumn("feature_set", F.lit(name)))), ordered)
+    scored = reduce(DataFrame.unionByName, written)
+    return probability_scores(scored, "target", "p", ["feature_set"]).join(auc(scored, "target", "p", ["feature_set"]), "feature_set")
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str) -> DataFrame:

@@ -12,7 +12,7 @@ from rallygrid.functions.formulas import k_factor
 from rallygrid.operators.joins import backward_asof
 from rallygrid.operators.trailing_totals import once_per_match
 from rallygrid.plans.base import bets, matches
-from rallygrid.session import cut_lineage, table
+from rallygrid.session import StepTables, cut_lineage, table
 from rallygrid.streaming.state import distinct_deliveries, streaming_ratings, windowed_counts
 
 FEATURES = ("delta_elo", "delta_surface_elo", "delta_idle", "delta_surface_idle")
@@ -115,7 +115,8 @@ def _wide_rows(spark: SparkSession, d: str) -> DataFrame:
         w, l = F.col(f"winner_{c}"), F.col(f"loser_{c}")
         out = out.withColumns({f"{c}_a": F.when(won, w).otherwise(l), f"{c}_b": F.when(won, l).otherwise(w)})
     out = out.withColumns({f"delta_{c}": F.col(f"{c}_a") - F.col(f"{c}_b") for c in (*shares, *RANKS)})
-    return sized(cut_lineage(out.select("history_id", F.year("match_date").alias("year"), "target", *ALL)))
+    # A table, as few of its columns are read at a time.
+    return StepTables(spark).cut(out.select("history_id", F.year("match_date").alias("year"), "target", *ALL), keep=True)
 
 
 def logistic_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -113,3 +113,40 @@ def test_years_that_no_task_can_train_go_by_models(spark, monkeypatch):
     assert boosting.forward_scores(odd.withColumn("year", ml.F.lit(2019)), "year", (2020, 2021), NAMES, trees, kept) is None
     monkeypatch.setattr(boosting, "TASK_CELLS", 100)
     assert boosting.forward_scores(df, "year", (2020, 2021), NAMES, trees, kept) is None
+
+
+def test_wide_frames_grow_the_same_trees():
+    """Sums over codes of three features, and of a child as its parent's less the other's, give the trees of all sums taken apart."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(7, 9_000))
+    x[3, :8_000] = 0.0  # a cell of many rows, counted apart at either limit
+    y = (x[0] + x[1] * x[2] + rng.normal(size=9_000) > 0).astype(float)[:6_000]
+    borders = [boosting.thresholds(c[:6_000], 32) for c in x]
+    bins = [np.searchsorted(b, c).astype(np.uint8) for b, c in zip(borders, x)]
+    codes = np.zeros((3, 9_000), np.uint16)
+    for j, c in enumerate(bins):
+        codes[j // 3] |= c.astype(np.uint16) << 5 * (2 - j % 3)
+    how = (8, 4, 0.1, 1.0, 7, 1)
+    nodes = boosting.grow([c[:6_000] for c in bins], [len(b) + 1 for b in borders], y, 1 - y, *how)
+    want = boosting.margins_of(nodes, bins, 8, 4, 0.1)
+    for most in (1 << 14, 10):
+        boosting.UNIT_ROWS, before = most, boosting.UNIT_ROWS
+        try:
+            assert np.abs(boosting.grow_wide(codes, 7, y, *how) - want).max() < 1e-8
+        finally:
+            boosting.UNIT_ROWS = before
+
+
+def test_sets_beyond_a_frame_of_doubles_are_grown_in_a_task(spark, monkeypatch):
+    def jobs(*_):
+        raise AssertionError("fitted by Spark's jobs")
+
+    monkeypatch.setattr(GBTClassifier, "_fit", jobs)
+    monkeypatch.setattr(boosting, "TASK_CELLS", 100)
+    rng = np.random.default_rng(5)
+    rows = [(float(a + rng.normal() > 0), float(a), float(b) if i % 5 else None) for i, (a, b) in enumerate(rng.normal(size=(1_200, 2)))]
+    df = spark.createDataFrame(rows, "target double, a double, b double").repartition(3)
+    make = lambda features: ml.boosted_trees(features, trees=5)
+    got = {r.feature_set: r for r in ml.ablation(df.limit(800), df, {"a": ("a",), "b": ("b",), "both": ("a", "b")}, make).collect()}
+    assert {k: r.n for k, r in got.items()} == {"a": 1_200, "b": 1_200, "both": 1_200}
+    assert got["a"].auc > 0.75 and got["both"].auc > 0.75 and 0.4 < got["b"].auc < 0.65

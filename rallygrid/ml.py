@@ -128,10 +128,12 @@ def ablation(train: DataFrame, test: DataFrame, sets: dict[str, Sequence[str]],
     if parts is None:
         fitted = fit_all([(p, train) for p in pipelines.values()])
         parts = {name: score(model, test).select(F.col("target").cast("double").alias("target"), "p") for name, model in zip(sets, fitted)}
-    # The largest first, as they take longest.
-    ordered = sorted(sets, key=lambda name: -len(sets[name]))
+    # The largest first, as they take longest; planned before, as wide plans take longer and would start last.
+    ordered = [parts[name].withColumn("feature_set", F.lit(name)) for name in sorted(sets, key=lambda name: -len(sets[name]))]
+    for part in ordered:
+        part._jdf.queryExecution().executedPlan()
     with ThreadPool(len(ordered)) as pool:
-        written = pool.map(inheritable_thread_target(train.sparkSession)(lambda name: cut_lineage(parts[name].withColumn("feature_set", F.lit(name)))), ordered)
+        written = pool.map(inheritable_thread_target(train.sparkSession)(cut_lineage), ordered, chunksize=1)
     scored = reduce(DataFrame.unionByName, written)
     return probability_scores(scored, "target", "p", ["feature_set"]).join(auc(scored, "target", "p", ["feature_set"]), "feature_set")
 
